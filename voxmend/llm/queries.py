@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from voxmend.llm.codes import encode_documents
 from voxmend.llm.common import table
 from voxmend.llm.quality import quality_rules
+from voxmend.llm.simhash import near_duplicates
+
+#: The vocabulary file of the queries that count tokens, and the ids that end a document in them.
+VOCABULARY = "word_bpe_49k.json"
+CODES_END_ID = 2
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), CODES_END_ID)
 
 
 def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_repetition_rules,)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op7_simhash)}
 ORACLES: dict[str, str] = {}
