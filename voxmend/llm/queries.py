@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxmend.llm.codes import encode_documents
 from voxmend.llm.common import table
+from voxmend.llm.mixing import mix
 from voxmend.llm.quality import quality_rules
 from voxmend.llm.simhash import near_duplicates
+from voxmend.llm.urls import judge
 
 #: The vocabulary file of the queries that count tokens, and the ids that end a document in them.
 VOCABULARY = "word_bpe_49k.json"
@@ -34,5 +36,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op7_simhash)}
+def op9_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op10_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op7_simhash, op9_redirect_rules, op10_golden_mix)}
 ORACLES: dict[str, str] = {}
