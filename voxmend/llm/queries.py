@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from voxmend.llm.codes import encode_documents
 from voxmend.llm.common import table
 from voxmend.llm.mixing import mix
+from voxmend.llm.packing import packed
 from voxmend.llm.quality import quality_rules
 from voxmend.llm.simhash import near_duplicates
 from voxmend.llm.urls import judge
@@ -16,6 +17,7 @@ from voxmend.llm.urls import judge
 #: The vocabulary file of the queries that count tokens, and the ids that end a document in them.
 VOCABULARY = "word_bpe_49k.json"
 CODES_END_ID = 2
+PACKING_END_ID = 1
 
 
 def vocabulary_path() -> str:
@@ -32,6 +34,10 @@ def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), vocabulary_path(), PACKING_END_ID)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,5 +50,5 @@ def op10_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op7_simhash, op9_redirect_rules, op10_golden_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op7_simhash, op9_redirect_rules, op10_golden_mix)}
 ORACLES: dict[str, str] = {}
