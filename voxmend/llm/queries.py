@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxmend.llm.codes import encode_documents
 from voxmend.llm.common import table
+from voxmend.llm.langid import fit, identify
 from voxmend.llm.mixing import mix
 from voxmend.llm.packing import packed
 from voxmend.llm.quality import quality_rules
@@ -38,6 +39,11 @@ def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary_path(), PACKING_END_ID)
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return identify(documents, fit(documents))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,5 +56,5 @@ def op10_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op7_simhash, op9_redirect_rules, op10_golden_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op4_byte_cnn, op7_simhash, op9_redirect_rules, op10_golden_mix)}
 ORACLES: dict[str, str] = {}
