@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxmend.llm.codes import encode_documents
 from voxmend.llm.common import table
+from voxmend.llm.htmltext import extract
 from voxmend.llm.langid import fit, identify
 from voxmend.llm.mixing import mix
 from voxmend.llm.packing import packed
@@ -48,6 +49,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_redirect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
@@ -56,5 +61,5 @@ def op10_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op4_byte_cnn, op7_simhash, op9_redirect_rules, op10_golden_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op4_byte_cnn, op7_simhash, op8_boosted_dom, op9_redirect_rules, op10_golden_mix)}
 ORACLES: dict[str, str] = {}
