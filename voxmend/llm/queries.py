@@ -15,6 +15,7 @@ from voxmend.llm.packing import packed
 from voxmend.llm.quality import quality_rules
 from voxmend.llm.simhash import near_duplicates
 from voxmend.llm.urls import judge
+from voxmend.llm.winnow import edited_likeness
 
 #: The vocabulary file of the queries that count tokens, and the ids that end a document in them.
 VOCABULARY = "word_bpe_49k.json"
@@ -45,6 +46,10 @@ def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, fit(documents))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,5 +66,5 @@ def op10_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op4_byte_cnn, op7_simhash, op8_boosted_dom, op9_redirect_rules, op10_golden_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op4_byte_cnn, op5_winnowing, op7_simhash, op8_boosted_dom, op9_redirect_rules, op10_golden_mix)}
 ORACLES: dict[str, str] = {}
