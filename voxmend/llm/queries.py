@@ -10,6 +10,7 @@ from voxmend.llm.codes import encode_documents
 from voxmend.llm.common import table
 from voxmend.llm.htmltext import extract
 from voxmend.llm.langid import fit, identify
+from voxmend.llm.lm import scores
 from voxmend.llm.mixing import mix
 from voxmend.llm.packing import packed
 from voxmend.llm.quality import quality_rules
@@ -50,6 +51,10 @@ def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op6_recurrent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -66,5 +71,5 @@ def op10_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op4_byte_cnn, op5_winnowing, op7_simhash, op8_boosted_dom, op9_redirect_rules, op10_golden_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op4_byte_cnn, op5_winnowing, op6_recurrent_scores, op7_simhash, op8_boosted_dom, op9_redirect_rules, op10_golden_mix)}
 ORACLES: dict[str, str] = {}
