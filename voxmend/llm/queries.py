@@ -71,5 +71,11 @@ def op10_golden_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op4_byte_cnn, op5_winnowing, op6_recurrent_scores, op7_simhash, op8_boosted_dom, op9_redirect_rules, op10_golden_mix)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_addressable_codes, op2_repetition_rules, op3_best_fit, op4_byte_cnn, op5_winnowing, op6_recurrent_scores, op7_simhash, op8_boosted_dom, op9_redirect_rules, op10_golden_mix, pipeline)}
 ORACLES: dict[str, str] = {}
