@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from voxmend.llm.common import one_thread
@@ -10,12 +12,19 @@ from voxmend.llm.common import one_thread
 REMEMBERED_WORDS = 1 << 19
 
 
+#: ASCII punctuation (no apostrophe) at the end of a word.
+_TAIL = re.compile(rb"[!\"#$%&()*+,./:;<=>?@\[\]^_`{|}~-]+$")
+#: Words that go through the library in one text.
+_TOGETHER = 512
+
+
 class WordEncoder:
-    """ids of texts under a tokenizer whose normalizer and pre-tokenizer never look across ASCII white space.
+    """ids of texts under a tokenizer that lower-cases, and that cuts text at ASCII white space and between a letter and
+    punctuation before it merges anything.
 
-    Such a tokenizer gives a text the ids of its words one after the other, so each distinct word goes through the
-    library once and is remembered. flat[first[w] : first[w] + count[w]] are the ids of word number w. Strings of special
-    tokens in a text are ordinary text.
+    Such a tokenizer gives a text the ids of its words one after the other, and a word that ends in punctuation the ids
+    of both parts, so each distinct part goes through the library once and is remembered. flat[first[w] : first[w] +
+    count[w]] are the ids of word number w. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, definition: str, remembered: int = REMEMBERED_WORDS):
@@ -25,6 +34,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.remembered = remembered
+        self.parts: dict[bytes, np.ndarray] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -33,28 +43,55 @@ class WordEncoder:
         self.first = np.zeros(1 << 15, np.int64)
         self.count = np.zeros(1 << 15, np.int64)
         self.n_flat = 0
+        if len(self.parts) > self.remembered:
+            self.parts = {}
+
+    @staticmethod
+    def cut(word: bytes) -> tuple[bytes, bytes]:
+        """The word without its closing punctuation, and that, if a letter or digit stands before it."""
+        m = _TAIL.search(word)
+        if m is None or m.start() == 0:
+            return word, b""
+        before = word[: m.start()]
+        last = before[-1]
+        if last < 128:
+            plain = 48 <= last <= 57 or 97 <= last <= 122 or 65 <= last <= 90
+        else:
+            plain = before.decode()[-1].isalpha()
+        return (before, m[0]) if plain else (word, b"")
+
+    def ask(self, parts: list[bytes]) -> None:
+        """Remembers the ids of parts, put to the library with spaces between; offsets say whose an id is."""
+        for a in range(0, len(parts), _TOGETHER):
+            texts = [w.decode() for w in parts[a : a + _TOGETHER]]
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            at = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            edge = np.searchsorted(at, ends).tolist()
+            self.parts.update(zip(parts[a : a + _TOGETHER], (ids[i:j] for i, j in zip([0, *edge], edge))))
 
     def learn(self, words: list[bytes]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for a in range(0, len(words), 4096):
-            part = words[a : a + 4096]
-            ids = [x.ids for x in encode([w.decode() for w in part], add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-            at, end = len(self.number), self.n_flat + len(flat)
-            while end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while at + len(part) > len(self.first):
-                self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-            self.flat[self.n_flat : end] = flat
-            self.first[at : at + len(part)] = self.n_flat + np.cumsum(counts) - counts
-            self.count[at : at + len(part)] = counts
-            self.number.update(zip(part, range(at, at + len(part))))
-            self.n_flat = end
+        known = self.parts
+        pairs = list(map(self.cut, words))
+        self.ask(list(dict.fromkeys(p for pair in pairs for p in pair if p and p not in known)))
+        pieces = [known[core] if not tail else np.concatenate([known[core], known[tail]]) for core, tail in pairs]
+        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at, end = len(self.number), self.n_flat + int(counts.sum())
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + len(words) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.flat[self.n_flat : end] = np.concatenate(pieces)
+        self.first[at : at + len(words)] = self.n_flat + np.cumsum(counts) - counts
+        self.count[at : at + len(words)] = counts
+        self.number.update(zip(words, range(at, at + len(words))))
+        self.n_flat = end
 
     def encode(self, text: bytes) -> np.ndarray:
-        """The ids (uint32) of one text in UTF-8. bytes.split() splits at space and 0x09-0x0D and at nothing else."""
-        words = text.split()
+        """The ids (uint32) of one text in UTF-8. bytes.split() splits at space and 0x09-0x0D and at nothing else;
+        bytes.lower() lowers A-Z and nothing else."""
+        words = text.lower().split()
         if len(self.number) > self.remembered:
             self.forget()
         number = self.number
