@@ -188,7 +188,8 @@ def scores(docs: DataFrame, known: int = KNOWN_WORDS) -> DataFrame:
     vocab = spark.sparkContext.broadcast(found)
     pick = training.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(START_DOCS).distinct()
     # The broadcast side has START_DOCS rows at most.
-    start = learned(training.join(F.broadcast(pick), "doc_id", "left_semi").coalesce(1), vocab, gru.fresh(), START_RATE)
+    sample = written(training.join(F.broadcast(pick), "doc_id", "left_semi"), "start")
+    start = learned(sample.coalesce(1), vocab, gru.fresh(), START_RATE)
     network = spark.sparkContext.broadcast(gru.pack(learned(training, vocab, start, RATE)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
