@@ -123,6 +123,6 @@ def repeated_as_mixed(docs: DataFrame) -> DataFrame:
     """
     mixed = mix(docs).where("size > 0").groupBy("doc_id", "mark", "source").agg(F.round(F.max(F.col("taken") / F.col("size"))).cast("int").alias("copies"))
     mixed = mixed.where("copies > 0").select(F.col("doc_id").alias("m_doc_id"), F.col("mark").alias("m_mark"), F.col("source").alias("m_source"), "copies")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m_doc_id")) & (F.xxhash64("d.text") == F.col("m_mark")) & F.col("d.source").eqNullSafe(F.col("m_source"))
-    met = docs.alias("d").join(mixed, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return met.select(*(F.col(f"d.`{x}`") for x in docs.columns))
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.m_doc_id")) & (F.xxhash64("d.text") == F.col("m.m_mark")) & F.col("d.source").eqNullSafe(F.col("m.m_source"))
+    met = docs.alias("d").join(mixed.alias("m"), same).select(F.struct("d.*").alias("d"), F.explode(F.sequence(F.lit(1), F.col("m.copies"))).alias("copy"))
+    return met.select("d.*")
