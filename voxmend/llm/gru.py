@@ -13,7 +13,7 @@ SYMBOLS = HEAD + TAIL_CLASSES
 #: Number of the end of a document: also what stands before its first word.
 END = 0
 STEPS = 16
-STREAMS = 256
+STREAMS = 512
 WINDOW = 32
 
 Params = dict[str, np.ndarray]
