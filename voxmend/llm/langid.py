@@ -22,6 +22,8 @@ EMBEDDING = 8
 DOCS_PER_LANG = 400
 WINDOWS_PER_DOC = 4
 EPOCHS = 10
+#: Parts that the documents of a language are ranked in before they are ranked together.
+SALTS = 64
 UNKNOWN = "und"
 #: A document is kept by keep_identified if its language's mean probability over windows is at least this.
 MIN_SCORE = 0.5
@@ -148,8 +150,12 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc: in
     text and lang, and windows_per_doc windows spread over each. Nothing but these windows comes to the driver.
     """
     rows = only(docs, doc_id="long", text="string", lang="string").where("doc_id is not null and lang is not null and text is not null and text <> ''").where(~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= docs_per_lang).select("doc_id", "lang").distinct()
+    # First within salted parts of a language, so that a language with most of the rows isn't ranked in one task.
+    ranked = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
+        ranked = ranked.withColumn("place", place).where(F.col("place") <= docs_per_lang).drop("place")
+    chosen = ranked.select("doc_id", "lang").distinct()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
