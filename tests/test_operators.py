@@ -53,6 +53,27 @@ def test_apply_needs_an_input_block(spark):
     assert records.apply_edits(nulls).first()["correction_result"]["accepted"]
 
 
+def test_hot_words_back_edits_and_show_scores(spark):
+    block = F.struct(F.lit("中界").alias("asr_top1"), F.array(F.lit("中界")).alias("nbest"), F.array().cast("array<string>").alias("nbest_pinyin"))
+    edits = F.struct(F.array(F.struct(F.lit("界").alias("from"), F.lit("介").alias("to"), F.lit("").alias("reason"))).alias("edits"))
+    base = spark.range(1).select(F.lit("1").alias("id"), block.alias("input"), edits.alias("output"), F.lit("中介").alias("reference"))
+    assert not records.apply_edits(base).first()["correction_result"]["accepted"]
+    plain = base.withColumn("input", F.col("input").withField("hotwords", F.array(F.lit("中介"))))
+    structs = base.withColumn("input", F.col("input").withField("hotwords", F.array(F.struct(F.lit("中介").alias("text"), F.lit(0.5).alias("score")))))
+    for df, line in ((plain, "- 中介"), (structs, "- 中介 (score=0.5000)")):
+        assert records.apply_edits(df).first()["prediction"] == "中介"
+        assert filters.with_reason(df, require_verifier_pass=True).first()["filter_reason"] == "kept"
+        assert exports.to_chat(df).first()["messages"][1]["content"].endswith("Hotwords:\n" + line)
+    flat = spark.createDataFrame([("1", "ac", ["ac", "ab", "ab"], "ab")], "id string, asr_top1 string, nbest array<string>, reference string")
+    assert records.rule_correct(flat).first()["prediction"] == "ab"
+
+
+def test_prepared(spark):
+    rows = raw(spark, *[("d", "dev" if i % 2 else "train", str(i), "ab", ["ac"], None) for i in range(6)])
+    assert [r["id"] for r in records.prepared(rows, "dev", 2).orderBy("id").collect()] == ["1", "3"]
+    assert records.prepared(rows).count() == 6
+
+
 def test_filter(spark):
     made = records.training_records(
         raw(spark, ("d", "s", "1", "", ["a"], None), ("d", "s", "2", "abcd", ["wxyz"], None), ("d", "s", "3", "abcd", ["abcd"], None), ("d", "s", "4", "a" * 40 + "b" * 30, ["a" * 40 + "c" * 30], None), ("d", "s", "5", "abcx", ["abcd"], None))

@@ -26,6 +26,9 @@ def test_json_lines(spark, tmp_path):
     (tmp_path / "c.jsonl").write_text("[1]\n")
     with pytest.raises(Exception, match="expected JSON object"):
         jsonl.read(spark, str(tmp_path / "c.jsonl"), "id string").collect()
+    assert jsonl.read_values(spark, str(tmp_path / "c.jsonl")).count() == 1
+    seen = spark.createDataFrame([("1", "improved", -1, ["r"]), ("2", "worsened", 2, ["r"])], "id string, status string, delta_edits int, reasons array<string>")
+    assert {tuple(r) for r in jsonl.write_analysis(seen, str(tmp_path / "e")).collect()} == {("status", "improved", 1), ("status", "worsened", 1), ("reason", "r", 2)}
     counts = jsonl.write_buckets(splits.by_field(df, "id"), str(tmp_path / "d"))
     assert [tuple(r) for r in counts.collect()] == [("1", 1), ("2", 1)]
 

@@ -31,6 +31,37 @@ def texts_field(df: DataFrame, path: str) -> Column:
     return empty if found is None else F.coalesce(found.cast("array<string>"), empty)
 
 
+def hotwords(df: DataFrame, root: str = "input.") -> Column | None:
+    """Hot words as array<struct<text, score>>, given as strings or as structs with text; None without such a field."""
+    found = field(df, f"{root}hotwords")
+    if found is None:
+        return None
+    kind = df.select(found.alias("h")).schema["h"].dataType.elementType
+    names = getattr(kind, "names", None)
+
+    def one(h: Column) -> Column:
+        text, score = (h["text"] if names else h), (h["score"] if names and "score" in names else F.lit(None))
+        return F.struct(F.coalesce(text.cast("string"), F.lit("")).alias("text"), score.cast("double").alias("score"))
+
+    return F.transform(found, one)
+
+
+def scored(df: DataFrame, root: str = "input.") -> bool:
+    """Whether hot words carry scores."""
+    found = field(df, f"{root}hotwords")
+    return found is not None and "score" in getattr(df.select(found.alias("h")).schema["h"].dataType.elementType, "names", ())
+
+
+def support(df: DataFrame, top1: Column, nbest: Column, root: str = "input.") -> Column:
+    """The texts of a record's evidence that may back an edit, as they are: root is where the evidence is."""
+    others = tuple(text_field(df, f"{root}{k}") for k in ("reference", "corrected_text") if field(df, f"{root}{k}") is not None)
+    hot = hotwords(df, root)
+    parts = [F.array(top1, *others), F.coalesce(nbest, F.array().cast("array<string>"))]
+    if hot is not None:
+        parts.append(F.coalesce(F.transform(hot, lambda h: h["text"]), F.array().cast("array<string>")))
+    return without_blanks(F.concat(*parts))
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """df with more columns, each computed once a row, whatever refers to them later.
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from voxmend.functions import prompts as P
 from voxmend.functions.text import strip
-from voxmend.operators.evidence import field, text_field, texts_field
+from voxmend.operators.evidence import hotwords, scored, text_field, texts_field
 
 #: Names of each format, in any letter case.
 FORMATS = {"internal": "internal", "qwen": "chat", "qwen-messages": "chat", "messages": "chat", "prompt-completion": "prompt", "prompt": "prompt", "query-response": "query"}
 
 
-def block_of(df: DataFrame, scored: bool = False) -> Column:
-    return P.input_block(text_field(df, "input.asr_top1"), texts_field(df, "input.nbest"), texts_field(df, "input.nbest_pinyin"), field(df, "input.hotwords"), scored)
+def block_of(df: DataFrame) -> Column:
+    return P.input_block(text_field(df, "input.asr_top1"), texts_field(df, "input.nbest"), texts_field(df, "input.nbest_pinyin"), hotwords(df), scored(df))
 
 
 def to_chat(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxmend.functions import edits as E
 from voxmend.functions.distance import cer
 from voxmend.functions.text import EXACT, Normalizer
-from voxmend.operators.evidence import computed, field, text_field, texts_field
+from voxmend.operators.evidence import computed, field, support, text_field, texts_field
 
 
 def with_reason(
@@ -33,8 +33,7 @@ def with_reason(
     top1, nbest = text_field(df, "input.asr_top1"), texts_field(df, "input.nbest")
     ready = computed(df, _f=F.struct(norm.one(reference).alias("reference_n"), norm.one(top1).alias("top1_n"), edits.alias("edits")))
     if require_verifier_pass:
-        support = E.support_texts(top1, nbest, (), field(df, "input.hotwords.text"))
-        ready = computed(ready, _s=F.struct(norm.many(nbest).alias("nbest_n"), norm.many(support).alias("support_n")))
+        ready = computed(ready, _s=F.struct(norm.many(nbest).alias("nbest_n"), norm.many(support(df, top1, nbest)).alias("support_n")))
         ready = computed(ready, _reasons=E.check_edits(F.coalesce("_f.edits", E.no_edits()), F.col("_f.top1_n"), F.col("_s.nbest_n"), F.col("_s.support_n"), max_changed, norm=norm, provider=provider))
     known = F.coalesce(F.col("_f.edits"), E.no_edits())
     pairs = F.zip_with(norm.many(F.transform(known, lambda e: e["from"])), norm.many(F.transform(known, lambda e: e["to"])), lambda f, t: F.struct(f.alias("from"), t.alias("to")))

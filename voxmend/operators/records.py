@@ -10,7 +10,7 @@ from voxmend.functions import prompts as P
 from voxmend.functions.model_text import parse_model_edits
 from voxmend.functions.phonetic import Characters, joined
 from voxmend.functions.text import EXACT, Normalizer, without_blanks
-from voxmend.operators.evidence import computed, field, text_field, texts_field, with_evidence
+from voxmend.operators.evidence import computed, field, hotwords, scored, support, text_field, texts_field, with_evidence
 from voxmend.operators.rules import rule_edits
 
 #: Fixed value: the source of raw records that name no dataset.
@@ -50,6 +50,12 @@ def training_records(raw: DataFrame, nbest_size: int = 5, output_mode: str = "ed
     return base.select("id", "source", "split", F.lit(P.TASK).alias("task"), F.lit(P.INSTRUCTION).alias("instruction"), block.alias("input"), output.alias("output"), "reference")
 
 
+def prepared(raw: DataFrame, split: str = "", limit: int = 0, order: str = "id", **options) -> DataFrame:
+    """Training records of one split (empty: all), the first limit of them in the given order (0: all)."""
+    chosen = raw.where(text_field(raw, "split") == split) if split else raw
+    return training_records(chosen.orderBy(order).limit(limit) if limit else chosen, **options)
+
+
 def edits_of(df: DataFrame, name: str) -> Column | None:
     """The edits in a column that is an edits array, or a struct with one."""
     inner = field(df, f"{name}.edits")
@@ -67,11 +73,9 @@ def apply_edits(df: DataFrame, edits_field: str = "predicted_edits", max_changed
     block = field(df, "input") is not None
     text = F.coalesce(field(df, "input.asr_top1"), F.lit("")) if block else text_field(df, "asr_top1")
     nbest = texts_field(df, "input.nbest")
-    hot = field(df, "input.hotwords.text")
-    others = [F.coalesce(x.cast("string"), F.lit("")) for x in (field(df, f"input.{k}") for k in ("reference", "corrected_text")) if x is not None]
     shown = text if block else F.lit("")
-    support = E.support_texts(shown, nbest, tuple(others), hot)
-    ready = computed(df, _e=F.struct(edits.alias("edits"), norm.one(shown).alias("top1_n"), norm.many(nbest).alias("nbest_n"), norm.many(support).alias("support_n")))
+    backing = support(df, shown, nbest)
+    ready = computed(df, _e=F.struct(edits.alias("edits"), norm.one(shown).alias("top1_n"), norm.many(nbest).alias("nbest_n"), norm.many(backing).alias("support_n")))
     reasons = E.check_edits(F.col("_e.edits"), F.col("_e.top1_n"), F.col("_e.nbest_n"), F.col("_e.support_n"), max_changed, norm=norm, provider=provider)
     ready = computed(ready, _reasons=reasons, _applied=E.apply_edits(text, F.col("_e.edits")))
     done = computed(ready, correction_result=E.safe_apply(text, F.col("_e.edits"), F.col("_reasons"), F.col("_applied")))
@@ -85,12 +89,12 @@ def rule_correct(df: DataFrame, max_char_distance: int = 4, max_pinyin_distance:
     """
     ready = with_evidence(df, norm, own_top1=True)
     ready = computed(ready, _edits=rule_edits(F.col("ev"), max_char_distance, max_pinyin_distance, min_candidate_support, norm, provider))
-    others = () if field(df, "input") is not None else (F.col("ev.reference_n"),)
-    support = E.support_texts(F.col("ev.top1_n"), F.col("ev.nbest_all_n"), others)
-    reasons = E.check_edits(F.col("_edits"), F.col("ev.top1_n"), F.col("ev.nbest_all_n"), support, max_changed, norm=norm, provider=provider)
+    backing = support(df, F.col("ev.top1"), F.col("ev.nbest_all"), "input." if field(df, "input") is not None else "")
+    ready = computed(ready.withColumn("_s", norm.many(backing)), _support=F.col("_s")).drop("_s")
+    reasons = E.check_edits(F.col("_edits"), F.col("ev.top1_n"), F.col("ev.nbest_all_n"), F.col("_support"), max_changed, norm=norm, provider=provider)
     ready = computed(ready, _reasons=reasons, _applied=E.apply_edits(F.col("ev.top1"), F.col("_edits")))
     done = computed(ready, correction_result=E.safe_apply(F.col("ev.top1"), F.col("_edits"), F.col("_reasons"), F.col("_applied")))
-    return done.withColumn("predicted_edits", F.struct(F.col("_edits").alias("edits"))).withColumn("prediction", F.col("correction_result.text")).drop("ev", "_edits", "_reasons", "_applied")
+    return done.withColumn("predicted_edits", F.struct(F.col("_edits").alias("edits"))).withColumn("prediction", F.col("correction_result.text")).drop("ev", "_edits", "_support", "_reasons", "_applied")
 
 
 def parse_replies(df: DataFrame, text_field_name: str = "model_output", edits_field: str = "predicted_edits") -> DataFrame:
@@ -104,7 +108,8 @@ def teacher_replies(df: DataFrame, model=None, schema=None, dry_run: bool = True
 
     model is a callable over pandas batches that get the column messages (see prompts.teacher_messages), and adds model_output.
     """
-    block = P.input_block(text_field(df, "input.asr_top1"), texts_field(df, "input.nbest"), texts_field(df, "input.nbest_pinyin"))
+    root = "input." if field(df, "input") is not None else ""
+    block = P.input_block(text_field(df, f"{root}asr_top1"), texts_field(df, f"{root}nbest"), texts_field(df, f"{root}nbest_pinyin"), hotwords(df, root), scored(df, root))
     asked = df.withColumn("messages", P.teacher_messages(block))
     if dry_run:
         return parse_replies(asked.withColumn("model_output", F.lit('{"edits": []}'))).drop("messages")

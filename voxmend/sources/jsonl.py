@@ -38,6 +38,11 @@ def read(spark: SparkSession, path: str, schema: StructType | str, strict: bool
     return checked.select(F.when(F.col("_problem").isNotNull(), F.from_json(failed.cast("string"), schema if isinstance(schema, str) else schema.json())).otherwise(parsed).alias("r")).select("r.*")
 
 
+def read_values(spark: SparkSession, path: str) -> DataFrame:
+    """value variant, file of every line that is not blank, whatever JSON it is; a line that is none fails the query."""
+    return read_lines(spark, path).select(F.parse_json("line").alias("value"), "file")
+
+
 def as_lines(df: DataFrame) -> DataFrame:
     """value: each row as compact JSON, nulls written out, fields in column order."""
     return df.select(F.to_json(F.struct(*(f"`{c}`" for c in df.columns)), {"ignoreNullFields": "false"}).alias("value"))
@@ -52,6 +57,17 @@ def write(df: DataFrame, path: str) -> int:
     return int(seen.get["n"])
 
 
+def write_analysis(rows: DataFrame, path: str, k: int = 20, order: str = "id") -> DataFrame:
+    """Writes the k largest changes of each status (status=<name> folders) and a summary of statuses and reasons under path."""
+    from voxmend.operators.reports import reason_counts, status_counts, top_changes
+
+    write_buckets(top_changes(rows, k, order), f"{path}/changes", "status")
+    summary = status_counts(rows).select(F.lit("status").alias("kind"), F.col("status").alias("name"), F.col("samples").alias("n"))
+    summary = summary.unionByName(reason_counts(rows, order).select(F.lit("reason").alias("kind"), F.col("reason").alias("name"), "n"))
+    write(summary.coalesce(1), f"{path}/summary")
+    return summary
+
+
 def write_buckets(df: DataFrame, path: str, bucket: str = "bucket") -> DataFrame:
     """Writes one folder of JSON lines a bucket (bucket=<name>), in one pass; returns bucket and records, by name."""
     rest = [c for c in df.columns if c != bucket]
