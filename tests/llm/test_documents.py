@@ -45,6 +45,24 @@ def test_codes(docs, rows, nothing, library):
     assert codes.encode_documents(nothing, VOCABULARY, 2).count() == 0
 
 
+def test_codes_at_a_path(spark, docs, tmp_path, library):
+    few = docs.where("doc_id < 20")
+    made = codes.write_codes(few, VOCABULARY, 2, str(tmp_path / "codes"), segment_ids=300)
+    again = codes.open_codes(spark, str(tmp_path / "codes"))
+    whole = [i for r in codes.read_codes(again).orderBy("start").collect() for i in r["ids"]]
+    assert made.count() > 3 and [codes.token_at(again, k) for k in range(0, len(whole), 211)] == whole[::211]
+    assert whole[-1] == 2
+    with pytest.raises(IndexError):
+        codes.token_at(again, len(whole))
+
+
+def test_sequences(docs):
+    pieces = packing.packed(docs, VOCABULARY, 1, capacity=256, with_ids=True)
+    found = packing.sequences(pieces).collect()
+    assert all(len(r["ids"]) == 4 * r["length"] <= 1024 for r in found)
+    assert sum(r["length"] for r in found) == pieces.agg({"length": "sum"}).first()[0]
+
+
 def test_a_segment_gives_any_id():
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 300, 3000), rng.integers(0, 2**32, 500), [0, 255, 256, 65535, 65536, 2**32 - 1]]).astype(np.uint32)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,13 +116,13 @@ class Segment:
         return self.slice(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int, label: str = "codes", segment_ids: int = SEGMENT_IDS) -> DataFrame:
+def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """The table of segments of docs (doc_id, text), in ascending doc_id: part int, segment int (in order within a part),
     part_first long (the ids of all parts before it), first long (the place of its first id among all), n_docs, n_ids
     long, data binary.
 
-    Texts are dealt by ranges of doc_id, so parts are in order; each task writes its part's segments and the table is
-    kept in the shared folder by Spark's own committed writer. Only one row a part is summed in one place.
+    Texts are dealt by ranges of doc_id, so parts are in order; each task writes its part's segments, and Spark's own
+    committed writer keeps the table at path, or in the shared folder. Only one row a part is summed in one place.
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(definition(tokenizer_path))
@@ -156,12 +156,33 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int, label: str =
         if names:
             yield close()
 
-    segments = written(sorted_docs.mapInArrow(run, "part int, segment int, first long, n_docs long, n_ids long, data binary"), label)
+    made = sorted_docs.mapInArrow(run, "part int, segment int, first long, n_docs long, n_ids long, data binary")
+    if path is None:
+        return placed(written(made, "codes"))
+    made.write.parquet(path)
+    return open_codes(spark, path)
+
+
+def open_codes(spark: SparkSession, path: str) -> DataFrame:
+    """The segments that write_codes left at path."""
+    return placed(spark.read.parquet(path))
+
+
+def placed(segments: DataFrame) -> DataFrame:
+    """segments with part_first, and first counted from the first part on."""
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     upto = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_first"))
     return segments.join(F.broadcast(upto), "part").select("part", "segment", "part_first", (F.col("first") + F.col("part_first")).alias("first"), "n_docs", "n_ids", "data")
 
 
+def token_at(segments: DataFrame, place: int) -> int:
+    """The id at a place among all ids: one segment is fetched, and nothing of it is decoded but this id."""
+    row = segments.where((F.col("first") <= place) & (F.col("first") + F.col("n_ids") > place)).select("first", "data").first()
+    if row is None:
+        raise IndexError(place)
+    return Segment(row["data"])[place - row["first"]]
+
+
 def read_codes(segments: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (array) of every document in the segments; see digests() for less."""
 

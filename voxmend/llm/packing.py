@@ -162,3 +162,10 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
             )
 
     return ranked.select(*names, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids + ", sequence_id long, offset long")
+
+
+def sequences(pieces: DataFrame) -> DataFrame:
+    """sequence_id, length, ids binary (little-endian uint32) of packed pieces with their ids: one row a sequence, of
+    capacity ids at most."""
+    parts = pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
+    return parts.select("sequence_id", "length", F.aggregate("parts", F.lit(b""), lambda ids, part: F.concat(ids, part["ids"])).alias("ids"))
