@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmend.llm.common import only, plain_strings, written
+from voxmend.llm.common import only, written
 from voxmend.llm.tokens import definition, encoder
 
 MAGIC = b"DAC1"
@@ -145,9 +145,8 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "segment", "first", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            texts = plain_strings(batch.column("text")).cast(pa.large_binary())
-            for k, name in enumerate(batch.column("doc_id").to_pylist()):
-                got = np.concatenate([tok.encode(texts[k].as_py()), end])
+            for name, found in zip(batch.column("doc_id").to_pylist(), tok.column(batch.column("text"))):
+                got = np.concatenate([found, end])
                 names.append(name)
                 ids.append(got)
                 size += len(got)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmend.llm.common import only, plain_strings, written
+from voxmend.llm.common import only, written
 from voxmend.llm.tokens import definition, encoder
 
 CAPACITY = 4096
@@ -115,9 +115,9 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPAC
         part, tok, end = TaskContext.get().partitionId(), encoder(model.value), np.array([end_id], np.uint32)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            texts, rows = plain_strings(batch.column("text")).cast(pa.large_binary()), []
-            for k, name in enumerate(batch.column("doc_id").to_pylist()):
-                ids = np.concatenate([tok.encode(texts[k].as_py()), end]).astype("<u4")
+            rows = []
+            for name, found in zip(batch.column("doc_id").to_pylist(), tok.column(batch.column("text"))):
+                ids = np.concatenate([found, end]).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     here = ids[start : start + capacity]
                     rows.append((name, piece, start, len(here), zlib.crc32(here), part, int(seen[len(here)]), *[here.tobytes()] * with_ids))

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 from voxmend.llm.common import one_thread
+from voxmend.llm.wordkernel import chunks
 
-#: Distinct words that a Python worker remembers; then it starts anew.
-REMEMBERED_WORDS = 1 << 19
-
-
-#: ASCII punctuation (no apostrophe) at the end of a word.
-_TAIL = re.compile(rb"[!\"#$%&()*+,./:;<=>?@\[\]^_`{|}~-]+$")
+#: Distinct words, and parts of them, that a Python worker remembers; then it starts anew.
+REMEMBERED_WORDS = 3 << 18
+REMEMBERED_PARTS = 1 << 20
+#: ASCII punctuation (no apostrophe) that may close a word.
+_CLOSING = b"!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~-"
 #: Words that go through the library in one text.
 _TOGETHER = 512
 
@@ -23,87 +25,111 @@ class WordEncoder:
     punctuation before it merges anything.
 
     Such a tokenizer gives a text the ids of its words one after the other, and a word that ends in punctuation the ids
-    of both parts, so each distinct part goes through the library once and is remembered. flat[first[w] : first[w] +
-    count[w]] are the ids of word number w. Strings of special tokens in a text are ordinary text.
+    of both parts, so each distinct part goes through the library once and is remembered. Word number w is the parts
+    core[w] and tail[w]; the ids of part p are flat[first[p] : first[p] + count[p]], and part 0 has none. Strings of
+    special tokens in a text are ordinary text.
     """
 
-    def __init__(self, definition: str, remembered: int = REMEMBERED_WORDS):
+    def __init__(self, definition: str, words: int = REMEMBERED_WORDS, parts: int = REMEMBERED_PARTS):
         one_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.remembered = remembered
-        self.parts: dict[bytes, np.ndarray] = {}
-        self.forget()
+        self.most_words, self.most_parts = words, parts
+        self.forget_parts()
 
-    def forget(self) -> None:
+    def forget_words(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 15, np.int64)
-        self.count = np.zeros(1 << 15, np.int64)
+        self.core, self.tail = (np.zeros(1 << 12, np.int32) for _ in range(2))
+
+    def forget_parts(self) -> None:
+        self.forget_words()
+        self.part: dict[bytes, int] = {b"": 0}
+        self.flat = np.zeros(1 << 12, np.uint32)
+        self.first, self.count = (np.zeros(1 << 12, np.int64) for _ in range(2))
         self.n_flat = 0
-        if len(self.parts) > self.remembered:
-            self.parts = {}
+
+    @staticmethod
+    def grown(x: np.ndarray, n: int) -> np.ndarray:
+        """x with room for n, doubled as often as that takes."""
+        if n <= len(x):
+            return x
+        out = np.zeros(1 << n.bit_length(), x.dtype)
+        out[: len(x)] = x
+        return out
 
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, bytes]:
         """The word without its closing punctuation, and that, if a letter or digit stands before it."""
-        m = _TAIL.search(word)
-        if m is None or m.start() == 0:
+        if word[-1] not in _CLOSING:
+            return word, b""
+        before = word.rstrip(_CLOSING)
+        if not before:
             return word, b""
-        before = word[: m.start()]
         last = before[-1]
         if last < 128:
-            plain = 48 <= last <= 57 or 97 <= last <= 122 or 65 <= last <= 90
+            plain = 48 <= last <= 57 or 97 <= last <= 122
         else:
             plain = before.decode()[-1].isalpha()
-        return (before, m[0]) if plain else (word, b"")
+        return (before, word[len(before) :]) if plain else (word, b"")
 
     def ask(self, parts: list[bytes]) -> None:
         """Remembers the ids of parts, put to the library with spaces between; offsets say whose an id is."""
         for a in range(0, len(parts), _TOGETHER):
             texts = [w.decode() for w in parts[a : a + _TOGETHER]]
             found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
+            ids = found.ids
             ends = np.cumsum([len(t) + 1 for t in texts])
-            at = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-            edge = np.searchsorted(at, ends).tolist()
-            self.parts.update(zip(parts[a : a + _TOGETHER], (ids[i:j] for i, j in zip([0, *edge], edge))))
+            edge = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids)), ends)
+            n, m = len(self.part), self.n_flat + len(ids)
+            self.flat = self.grown(self.flat, m)
+            self.first, self.count = self.grown(self.first, n + len(texts)), self.grown(self.count, n + len(texts))
+            self.flat[self.n_flat : m] = ids
+            start = np.concatenate([[0], edge[:-1]])
+            self.first[n : n + len(texts)] = self.n_flat + start
+            self.count[n : n + len(texts)] = edge - start
+            self.part.update(zip(parts[a : a + _TOGETHER], range(n, n + len(texts))))
+            self.n_flat = m
 
     def learn(self, words: list[bytes]) -> None:
-        known = self.parts
         pairs = list(map(self.cut, words))
-        self.ask(list(dict.fromkeys(p for pair in pairs for p in pair if p and p not in known)))
-        pieces = [known[core] if not tail else np.concatenate([known[core], known[tail]]) for core, tail in pairs]
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at, end = len(self.number), self.n_flat + int(counts.sum())
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + len(words) > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        self.flat[self.n_flat : end] = np.concatenate(pieces)
-        self.first[at : at + len(words)] = self.n_flat + np.cumsum(counts) - counts
-        self.count[at : at + len(words)] = counts
-        self.number.update(zip(words, range(at, at + len(words))))
-        self.n_flat = end
-
-    def encode(self, text: bytes) -> np.ndarray:
-        """The ids (uint32) of one text in UTF-8. bytes.split() splits at space and 0x09-0x0D and at nothing else;
+        known = self.part
+        self.ask(list(dict.fromkeys(p for pair in pairs for p in pair if p not in known)))
+        n = len(self.number)
+        self.core, self.tail = self.grown(self.core, n + len(words)), self.grown(self.tail, n + len(words))
+        self.core[n : n + len(words)] = [known[p] for p, _ in pairs]
+        self.tail[n : n + len(words)] = [known[t] for _, t in pairs]
+        self.number.update(zip(words, range(n, n + len(words))))
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids (uint32) of some texts in UTF-8. bytes.split() splits at space and 0x09-0x0D and at nothing else;
         bytes.lower() lowers A-Z and nothing else."""
-        words = text.lower().split()
-        if len(self.number) > self.remembered:
-            self.forget()
+        if len(self.part) > self.most_parts:
+            self.forget_parts()
+        if len(self.number) > self.most_words:
+            self.forget_words()
+        lists = [t.lower().split() for t in texts]
+        words = list(chain.from_iterable(lists))
         number = self.number
         got = list(map(number.get, words))
         if None in got:
             self.learn(list(dict.fromkeys(w for w, i in zip(words, got) if i is None)))
-            got = list(map(number.get, words))
+            got = [number[w] if i is None else i for w, i in zip(words, got)]
         at = np.array(got, np.int64)
-        count = self.count[at]
-        to = np.cumsum(count) - count
-        total = int(to[-1] + count[-1]) if len(at) else 0
-        return self.flat[np.repeat(self.first[at] - to, count) + np.arange(total)]
+        order = np.empty(2 * len(at), np.int64)
+        order[0::2], order[1::2] = self.core[at], self.tail[at]
+        count = self.count[order]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.flat[np.repeat(self.first[order] - upto[:-1], count) + np.arange(upto[-1])]
+        edge = upto[2 * np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)].tolist()
+        return [ids[i:j] for i, j in zip(edge, edge[1:])]
+
+    def column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text of an Arrow column (null: none), in order, about a megabyte of texts at a time."""
+        for _, _, data, off in chunks(column):
+            raw, edge = data.tobytes(), off.tolist()
+            yield from self.encode([raw[i:j] for i, j in zip(edge, edge[1:])])
 
 
 _encoders: dict[str, WordEncoder] = {}
