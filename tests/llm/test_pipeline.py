@@ -40,3 +40,13 @@ def test_stages(spark, docs, rows, tmp_path):
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
     assert "pipeline" in queries.QUERIES and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_own_tables_can_be_cleared(spark, tmp_path):
+    from voxmend.llm.common import clear, own_folder, written
+
+    found = written(spark.range(5), "numbers")
+    assert found.count() == 5
+    clear(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

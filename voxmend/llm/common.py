@@ -31,10 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/voxmend-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes the tables that written left in this application's folder; results that still read them must be saved first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder, read back: a lost executor costs a read, not a recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxmend-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

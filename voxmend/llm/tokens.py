@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from voxmend.llm.common import one_thread
+from voxmend.llm.common import one_thread, plain_strings
 from voxmend.llm.wordkernel import chunks
 
 #: Distinct words, and parts of them, that a Python worker remembers; then it starts anew.
-REMEMBERED_WORDS = 3 << 18
+REMEMBERED_WORDS = 1 << 20
 REMEMBERED_PARTS = 1 << 20
 #: ASCII punctuation (no apostrophe) that may close a word.
 _CLOSING = b"!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~-"
+#: Bytes of texts whose words are told apart at once.
+CHUNK_BYTES = 4 << 20
 #: Words that go through the library in one text.
 _TOGETHER = 512
 
@@ -62,7 +64,7 @@ class WordEncoder:
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, bytes]:
         """The word without its closing punctuation, and that, if a letter or digit stands before it."""
-        if word[-1] not in _CLOSING:
+        if not word or word[-1] not in _CLOSING:
             return word, b""
         before = word.rstrip(_CLOSING)
         if not before:
@@ -102,34 +104,37 @@ class WordEncoder:
         self.tail[n : n + len(words)] = [known[t] for _, t in pairs]
         self.number.update(zip(words, range(n, n + len(words))))
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids (uint32) of some texts in UTF-8. bytes.split() splits at space and 0x09-0x0D and at nothing else;
-        bytes.lower() lowers A-Z and nothing else."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of an Arrow array of texts one after the other, and where each text's start. Arrow's ASCII
+        functions lower A-Z and split at space and 0x09-0x0D and touch nothing else; only distinct words reach Python."""
         if len(self.part) > self.most_parts:
             self.forget_parts()
         if len(self.number) > self.most_words:
             self.forget_words()
-        lists = [t.lower().split() for t in texts]
-        words = list(chain.from_iterable(lists))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = lists.flatten().dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
         number = self.number
-        got = list(map(number.get, words))
-        if None in got:
-            self.learn(list(dict.fromkeys(w for w, i in zip(words, got) if i is None)))
-            got = [number[w] if i is None else i for w, i in zip(words, got)]
-        at = np.array(got, np.int64)
+        new = [w for w in distinct if w not in number]
+        if new:
+            self.learn(new)
+        at = np.fromiter(map(number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         order = np.empty(2 * len(at), np.int64)
         order[0::2], order[1::2] = self.core[at], self.tail[at]
         count = self.count[order]
         upto = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(self.first[order] - upto[:-1], count) + np.arange(upto[-1])]
-        edge = upto[2 * np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)].tolist()
-        return [ids[i:j] for i, j in zip(edge, edge[1:])]
+        where = lists.offsets.to_numpy().astype(np.int64)
+        return ids, upto[2 * (where - where[0])]
 
     def column(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of every text of an Arrow column (null: none), in order, about a megabyte of texts at a time."""
-        for _, _, data, off in chunks(column):
-            raw, edge = data.tobytes(), off.tolist()
-            yield from self.encode([raw[i:j] for i, j in zip(edge, edge[1:])])
+        """The ids of every text of an Arrow column (null: none), in order, some megabytes of texts at a time."""
+        column = plain_strings(column)
+        for first, last, _, _ in chunks(column, CHUNK_BYTES):
+            ids, edge = self.encode(column.slice(first, last - first))
+            edge = edge.tolist()
+            for i, j in zip(edge, edge[1:]):
+                yield ids[i:j]
 
 
 _encoders: dict[str, WordEncoder] = {}
