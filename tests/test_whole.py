@@ -1,0 +1,73 @@
+"""Queries over whole texts against plain versions: no SQL covers them."""
+
+import itertools
+import re
+
+import pytest
+
+from voxmend import catalog
+
+MARKS = re.compile(r"[.,!\s]+")
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def hypotheses(doc_id, r):
+    p = 2 + doc_id % 7
+    sb, dl, ins = r[: p - 1] + "x" + r[p:], r[: p - 1] + r[p:], r[:p] + "e" + r[p:]
+    kinds = [(r, sb, dl), (sb, r, r, dl), (dl, sb, ins, r), (ins, dl, dl), (r[::-1], r, r), ("", "  ", sb, r)]
+    return [h for h in kinds[doc_id % 6] if h.strip()]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    where = tmp_path_factory.mktemp("whole")
+    rows = [(i, " ".join(f"Wört{i * k % 17}, né{k}中." for k in range(6 + 3 * i)), "de", f"s{i % 2}") for i in range(27)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(where / "documents.parquet"))
+    return str(where), {i: MARKS.sub("", t) for i, t, _, _ in rows}
+
+
+def test_records_hold_whole_texts(spark, folder):
+    where, norm = folder
+    got = {r["doc_id"]: r for r in catalog.QUERIES["whole_sft_records"](spark, where).collect()}
+    assert {i: (r["reference"], r["nbest"]) for i, r in got.items()} == {i: (t, "|".join(hypotheses(i, t))) for i, t in norm.items()}
+    assert got[13]["reference"] and min(map(len, norm.values())) > 24
+
+
+def test_distances_of_whole_texts(spark, folder):
+    where, norm = folder
+    wanted = {(i, k): distance(h, t) for i, t in norm.items() for k, h in enumerate(hypotheses(i, t))}
+    assert {(r[0], r[1]): r[2] for r in catalog.QUERIES["whole_edit_distance_pairs"](spark, where).collect()} == wanted
+    first = {i: wanted[i, 0] for i in norm}
+    assert {r["doc_id"]: (r["distance"], r["reference_chars"]) for r in catalog.QUERIES["whole_cer_per_record"](spark, where).collect()} == {i: (first[i], len(t)) for i, t in norm.items()}
+    report = catalog.QUERIES["whole_baseline_report"](spark, where).first()
+    best = {i: min(wanted[i, k] for k in range(len(hypotheses(i, t)))) for i, t in norm.items()}
+    assert (report["samples"], report["reference_chars"], report["top1_edits"], report["oracle_edits"]) == (27, sum(map(len, norm.values())), sum(first.values()), sum(best.values()))
+
+
+def test_edits_and_replies_of_whole_texts(spark, folder):
+    where, norm = folder
+    for r in catalog.QUERIES["whole_minimal_edit"](spark, where).collect():
+        top1, t = hypotheses(r["doc_id"], norm[r["doc_id"]])[0], norm[r["doc_id"]]
+        start = sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(top1, t)))
+        end = sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(top1[start:][::-1], t[start:][::-1])))
+        left = start - (len(top1) - end == start)
+        assert r["edits"] == ("" if top1 == t else f"{top1[left : len(top1) - end]}>{t[left : len(t) - end]}:middle_span_replace")
+    replies = {r["doc_id"]: r["edits"] for r in catalog.QUERIES["whole_parse_model_output"](spark, where).collect()}
+    for i, t in norm.items():
+        one = f"{t[: len(t) // 2]}>{t[len(t) // 2 :]}:r"
+        assert replies[i] == {0: one, 1: one, 2: f"{one}|{one}", 3: f"{one}|{one}"}.get(i % 6, "")
+
+
+def test_every_query_over_records_has_a_whole_twin(spark, folder):
+    where, _ = folder
+    twins = [n for n in catalog.QUERIES if n.startswith("whole_") and "texts" not in n]
+    assert len(twins) == 33 and not set(twins) & set(catalog.ORACLES)
+    assert catalog.QUERIES["whole_filter_reasons"](spark, where).count() and catalog.QUERIES["whole_safe_apply"](spark, where).count() == 27

@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from voxmend.functions.text import characters
+
+#: Up to so many code points texts are compared as they are.
+SHORT = 64
+
 
 def edit_distance(left: Column, right: Column) -> Column:
-    """Levenshtein distance in code points, unit costs."""
-    return F.levenshtein(left, right).cast("bigint")
+    """Levenshtein distance in code points, unit costs. What two long texts share at their start and end is taken off first, which
+    leaves the distance as it is: texts that differ in one place cost their length, not its square."""
+    short = F.greatest(F.length(left), F.length(right)) <= SHORT
+    pair = F.struct(left.alias("l"), right.alias("r"))
+    rest = F.get(F.transform(F.array(pair), lambda v: F.struct(_without_start(v["l"], v["r"]).alias("v"))), 0)["v"]
+    turned = F.get(F.transform(F.array(rest), lambda v: _without_start(F.reverse(v["l"]), F.reverse(v["r"]))), 0)
+    long = F.get(F.transform(F.array(turned), lambda v: F.levenshtein(v["l"], v["r"])), 0)
+    return F.when(left == right, F.lit(0)).when(short, F.levenshtein(left, right)).otherwise(long).cast("bigint")
+
+
+def _without_start(left: Column, right: Column) -> Column:
+    """struct<l, r>: two texts without the code points that both begin with."""
+    same = F.zip_with(characters(left), characters(right), lambda a, b: a.eqNullSafe(b))
+    # Where one text is the other's start, zip_with's padding is the first miss.
+    miss = F.array_position(same, False).cast("int")
+    first = F.when(miss > 0, miss).otherwise(F.size(same) + 1)
+    return F.get(F.transform(F.array(first), lambda at: F.struct(F.substring(left, at, F.length(left)).alias("l"), F.substring(right, at, F.length(right)).alias("r"))), 0)
 
 
 def within(left: Column, right: Column, most: int) -> Column:

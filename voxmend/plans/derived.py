@@ -9,27 +9,30 @@ from voxmend.functions.text import normalize_composed
 from voxmend.operators.evidence import computed
 
 REFERENCE_CHARS = 24
+#: More than any text has: to the end.
+REST = 2**31 - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Raw records (doc_id, dataset, split, id, reference, nbest) out of documents: reference is the start of the text in normal
-    form, empty for every 13th document; hypotheses are the reference with one character replaced, left out or put in,
-    or reversed, in six arrangements."""
+    form, empty for every 13th document, or, with whole, all of every text's normal form; hypotheses are the reference
+    with one character replaced, left out or put in, or reversed, in six arrangements."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", normalize_composed(F.col("text")).alias("norm"))
-    ref = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.substring("norm", 1, REFERENCE_CHARS))
+    start = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.substring("norm", 1, REFERENCE_CHARS))
+    ref = F.coalesce("norm", F.lit("")) if whole else start
     docs = computed(docs, reference=ref).select("doc_id", "lang", "source", "reference", (F.lit(2) + F.col("doc_id") % 7).cast("int").alias("p"))
     r, p = F.col("reference"), F.col("p")
 
     def part(first: Column | int, n: Column | int) -> Column:
         return F.substring(r, F.lit(first) if isinstance(first, int) else first, F.lit(n) if isinstance(n, int) else n)
 
-    swapped = F.concat(part(1, p - 1), F.lit("x"), part(p + 1, 1000))
-    shorter = F.concat(part(1, p - 1), part(p + 1, 1000))
-    longer = F.concat(part(1, p), F.lit("e"), part(p + 1, 1000))
+    swapped = F.concat(part(1, p - 1), F.lit("x"), part(p + 1, REST))
+    shorter = F.concat(part(1, p - 1), part(p + 1, REST))
+    longer = F.concat(part(1, p), F.lit("e"), part(p + 1, REST))
     docs = computed(docs, sb=swapped, dl=shorter, ins=longer, rv=F.reverse("reference"))
     kinds = [("reference", "sb", "dl"), ("sb", "reference", "reference", "dl"), ("dl", "sb", "ins", "reference"), ("ins", "dl", "dl"), ("rv", "reference", "reference"), ("''", "'  '", "sb", "reference")]
     nbest = F.when(F.lit(False), F.array().cast("array<string>"))
@@ -38,14 +41,14 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.col("source").alias("dataset"), F.col("lang").alias("split"), F.col("doc_id").cast("string").alias("id"), "reference", nbest.alias("nbest"))
 
 
-def predicted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predicted_edits(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Training records with predicted_edits of five kinds by doc_id: what the reference asks for; an unbacked word; two
     edits, one of an absent text; a deletion; an edit that changes nothing and one with an empty side."""
     from voxmend.operators.records import training_records
     from voxmend.functions.text import COMPOSED
     from voxmend.functions.edits import edit
 
-    raw = raw_records(spark, sf_dir)
+    raw = raw_records(spark, sf_dir, whole)
     made = training_records(raw, norm=COMPOSED)
     top1 = F.col("input.asr_top1")
     first, second, third = (F.substring(top1, a, n) for a, n in ((1, 3), (4, 2), (6, 3)))
@@ -60,12 +63,15 @@ def predicted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return computed(made, predicted_edits=F.struct(chosen.alias("edits")))
 
 
-def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, model_output: replies around one edit, fenced, bare, as a list, in prose, and without any."""
+def replies(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """doc_id, model_output: replies around one edit, fenced, bare, as a list, in prose, and without any. The edit puts the
+    text's characters 4 to 6 for the first three, or, with whole, its second half for its first."""
     from voxmend.functions.prompts import compact_json
 
     docs = table(spark, sf_dir, "documents").select("doc_id", normalize_composed(F.col("text")).alias("norm"))
-    one = compact_json(F.struct(F.substring("norm", 1, 3).alias("from"), F.substring("norm", 4, 3).alias("to"), F.lit("r").alias("reason")))
+    half = F.expr("length(norm) div 2").cast("int")
+    old, new = (F.substring("norm", F.lit(1), half), F.substring("norm", half + 1, F.lit(REST))) if whole else (F.substring("norm", 1, 3), F.substring("norm", 4, 3))
+    one = compact_json(F.struct(old.alias("from"), new.alias("to"), F.lit("r").alias("reason")))
     k = F.col("doc_id") % 6
     text = (
         F.when(k == 0, F.concat(F.lit("ok:\n```json\n{\"edits\":["), one, F.lit("]}\n```\ndone")))
@@ -73,6 +79,6 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 2, F.concat(F.lit("["), one, F.lit(","), one, F.lit("]")))
         .when(k == 3, F.concat(F.lit("I think ["), one, F.lit(","), one, F.lit("] is right")))
         .when(k == 4, F.lit("123"))
-        .otherwise(F.substring("norm", 1, 20))
+        .otherwise(F.col("norm") if whole else F.substring("norm", 1, 20))
     )
     return docs.select("doc_id", text.alias("model_output"))
