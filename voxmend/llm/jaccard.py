@@ -1,0 +1,152 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find groups, exact shingle sets decide in them."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from voxmend.llm.common import only, written
+from voxmend.llm.components import components
+from voxmend.llm.simhash import shingle_hashes
+from voxmend.llm.wordkernel import LOWER, chunks
+
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+#: Two sets of similarity 0.8 share no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, under 1 in 15 000.
+BANDS, ROWS = 32, 6
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _SPREAD
+    return x ^ (x >> np.uint64(29))
+
+
+def sets_of(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the distinct shingles of each text, rising."""
+    h, doc = shingle_hashes(data, off, n)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[first], np.searchsorted(doc[first], np.arange(len(off)))
+
+
+def sketches(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit name of each set, BANDS keys of each set); all zero for an empty set."""
+    names, keys = np.zeros(len(off) - 1, np.uint64), np.zeros((len(off) - 1, BANDS), np.uint64)
+    full = np.flatnonzero(np.diff(off))
+    if not len(full):
+        return names, keys
+    heads = off[full]
+    names[full] = np.add.reduceat(stirred(h), heads)
+    draw = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, (BANDS * ROWS, 2), dtype=np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(full), band + 1, np.uint64)
+        for flip, times in draw[band * ROWS : (band + 1) * ROWS]:
+            key = stirred(key ^ np.minimum.reduceat((h ^ flip) * (times | np.uint64(1)), heads))
+        keys[full, band] = key
+    return names, keys
+
+
+def trees(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the number of the first set that chains of pairs at least so similar lead to. Exact.
+
+    A set's shared shingles with all others not yet in a tree are counted through one index of them, which is made
+    again whenever half of its sets are in trees: a dense group costs a few passes, not all its pairs.
+    """
+    size = np.array([len(s) for s in sets])
+    label = np.full(len(sets), -1)
+
+    def indexed(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = np.concatenate([sets[i] for i in left])
+        order = np.argsort(h, kind="stable")
+        return h[order], np.repeat(left, size[left])[order]
+
+    left = np.arange(len(sets))
+    h, owner = indexed(left)
+    inside = len(left)
+    for seed in range(len(sets)):
+        if label[seed] >= 0:
+            continue
+        label[seed] = seed
+        queue = [seed]
+        while queue:
+            v = queue.pop()
+            left = left[label[left] < 0]
+            if not len(left):
+                break
+            if 2 * len(left) < inside:
+                h, owner = indexed(left)
+                inside = len(left)
+            a, b = np.searchsorted(h, sets[v], "left"), np.searchsorted(h, sets[v], "right")
+            n = b - a
+            met = owner[np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            who, shared = np.unique(met[label[met] < 0], return_counts=True)
+            # shared / union >= similarity, for 0.8 in whole numbers: 5 * shared >= 4 * union
+            close = who[shared >= similarity * (size[v] + size[who] - shared) - 1e-9]
+            label[close] = seed
+            queue.extend(close.tolist())
+    return label
+
+
+def sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """doc_id, text_hash, node (the name of its shingle set), keys of every row; one scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, data, off in chunks(batch.column("text")):
+                names, keys = sketches(*sets_of(LOWER[data], off, shingle_words))
+                listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.reshape(-1).view(np.int64)))
+                rows = (batch.column(c).slice(first, last - first) for c in ("doc_id", "text_hash"))
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(names.view(np.int64)), listed], ["doc_id", "text_hash", "node", "keys"])
+
+    ready = only(docs, doc_id="long", text="string").withColumn("text_hash", F.xxhash64("text"))
+    return ready.mapInArrow(run, "doc_id long, text_hash long, node long, keys array<long>")
+
+
+def labelled(docs: DataFrame, prints: DataFrame, similarity: float, shingle_words: int) -> DataFrame:
+    """node, label of every node that is at least so similar to another one, directly or by a chain."""
+    nodes = written(prints.where("node <> 0").groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("keys").alias("keys")), "sets")
+    met = nodes.select("node", F.explode("keys").alias("key"))
+    least = met.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    groups = components(met.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    wanted = groups.join(nodes.select("node", "text_hash"), "node").select("label", "node", "text_hash")
+    texts = only(docs, text="string").withColumn("text_hash", F.xxhash64("text"))
+    # Exact copies are one set: only one of the rows with its text is read.
+    texts = texts.join(wanted.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    members = wanted.join(texts, "text_hash").groupBy("label").agg(F.collect_list(F.struct("node", "text")).alias("members"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                group = batch.column(0)[i].values
+                ids, sets = group.field("node").to_numpy(), []
+                for _, _, data, off in chunks(group.field("text")):
+                    h, at = sets_of(LOWER[data], off, shingle_words)
+                    sets += [h[a:b] for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[trees(sets, similarity)])], ["node", "label"])
+
+    return members.select("members").mapInArrow(run, "node long, label long")
+
+
+def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """Of each group of rows of docs (doc_id, text and more) that chains of similar texts connect exactly one row, with its
+    columns: the smallest doc_id's (null last), of those the one with the smallest hash of its text.
+
+    Texts are similar if the sets of their shingles (shingle_words words, A-Z lower-cased, joined by a space, or all words
+    where there are fewer) have that Jaccard similarity or more. Texts without a word are alike. Every link is decided on the
+    exact sets; a pair is only missed if no chain of shared bands joins it (see BANDS).
+    """
+    prints = written(sketched(docs, shingle_words), "sketches")
+    labels = written(labelled(docs, prints, similarity, shingle_words), "similar")
+    rows = prints.select("doc_id", "text_hash", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("kept_doc_id"), F.col("best.text_hash").alias("kept_hash"))
+    named = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    same = (named["_hash"] == kept["kept_hash"]) & named["doc_id"].cast("long").eqNullSafe(kept["kept_doc_id"])
+    return named.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")

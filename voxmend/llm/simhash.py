@@ -25,12 +25,11 @@ BLOCKS = 7
 PIVOTS = 64
 
 
-def fingerprints_of(data: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
-    """The SimHash (uint64) of each of the texts laid end to end, data already in lower case."""
+def shingle_hashes(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of its text) of every shingle of the texts laid end to end, data already in lower case, in order."""
     at = Layout(data, off)
-    out = np.zeros(len(off) - 1, np.uint64)
     if not len(at.start):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     # The words with one space between: a shingle is then one slice.
     length = at.end - at.start
     to = np.cumsum(length + 1) - (length + 1)
@@ -47,7 +46,15 @@ def fingerprints_of(data: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
     begin, stop = to[here], to[final] + length[final]
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(begin.tolist(), stop.tolist())), np.uint64, len(here))
-    doc = at.doc[here]
+    return h, at.doc[here]
+
+
+def fingerprints_of(data: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
+    """The SimHash (uint64) of each of the texts laid end to end, data already in lower case."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    h, doc = shingle_hashes(data, off, n)
+    if not len(h):
+        return out
     heads = np.flatnonzero(np.diff(doc, prepend=-1))
     counts = np.diff(np.append(heads, len(doc)))
     ones = np.zeros((len(heads), 64), np.int64)
