@@ -50,9 +50,37 @@ def matched(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return out
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with /, its . and .. segments carried out."""
+    segments = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(1)))
+    last = F.element_at(segments, -1)
+
+    def one(kept: Column, s: Column) -> Column:
+        return F.when(s == ".", kept).when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(s)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), one)
+    return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """target as a link on the page url. Null for an empty one, a bare fragment, and schemes without :// (mailto:)."""
+    on_host = F.concat(F.lit("http://"), host_of(url))
+    base = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    path, rest = F.regexp_extract(target, "(?s)^[^?#]*", 0), F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(base, "[^/]*$", "")
+    return (
+        F.when((target == "") | target.startswith("#"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.lit("http:"), target))
+        .when(target.startswith("/"), F.concat(on_host, without_dots(path), rest))
+        .when(target.startswith("?"), F.concat(on_host, base, target))
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .otherwise(F.concat(on_host, without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url): canonical links and refresh redirects in pages (url, html). Targets that start with / are on the
-    page's host; other targets without :// are left out."""
+    """(from_url, to_url): all canonical links and refresh redirects in pages (url, html), resolved against the page's url."""
 
     def attribute(tag: Column, name: str) -> Column:
         return F.regexp_extract(tag, f"(?is)\\b{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+))", 0)
@@ -60,13 +88,18 @@ def page_links(pages: DataFrame) -> DataFrame:
     def value(text: Column) -> Column:
         return F.regexp_replace(F.regexp_replace(text, "(?s)^[^=]*=\\s*", ""), "^[\"']|[\"']$", "")
 
-    canonical = F.regexp_extract("html", "(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>", 0)
-    refresh = F.regexp_extract("html", "(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>", 0)
-    to = F.array(value(attribute(canonical, "href")), F.regexp_extract(value(attribute(refresh, "content")), "(?is)url\\s*=\\s*[\"']?([^\"']+)", 1))
+    def tags(pattern: str) -> Column:
+        return F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+
+    canonical = tags("(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>")
+    refresh = tags("(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>")
+    to = F.concat(
+        F.transform(canonical, lambda t: value(attribute(t, "href"))),
+        F.transform(refresh, lambda t: F.regexp_extract(value(attribute(t, "content")), "(?is)url\\s*=\\s*[\"']?([^\"']+)", 1)),
+    )
     found = pages.where("url is not null and html is not null").select("url", F.explode(to).alias("target"))
-    target = F.trim(F.regexp_replace("target", "&amp;", "&"))
-    whole = F.when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), target)).when(target.contains("://"), target)
-    return found.select(F.col("url").alias("from_url"), whole.alias("to_url")).where("to_url is not null")
+    found = found.select("url", F.trim(F.regexp_replace("target", "&amp;", "&")).alias("target"))
+    return found.select(F.col("url").alias("from_url"), resolved(F.col("url"), F.col("target")).alias("to_url")).where("to_url is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
