@@ -71,3 +71,10 @@ def test_every_query_over_records_has_a_whole_twin(spark, folder):
     twins = [n for n in catalog.QUERIES if n.startswith("whole_") and "texts" not in n]
     assert len(twins) == 33 and not set(twins) & set(catalog.ORACLES)
     assert catalog.QUERIES["whole_filter_reasons"](spark, where).count() and catalog.QUERIES["whole_safe_apply"](spark, where).count() == 27
+
+
+def test_training_texts_are_cut_where_training_cuts(spark, tmp_path):
+    rows = [(1, 0, "user", "u" * 600), (1, 1, "assistant", "a" * 700), (2, 0, "user", "v" * 20000)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(r["text"] for r in catalog.QUERIES["whole_training_texts"](spark, str(tmp_path)).collect())
+    assert got == ["<user>\n" + "u" * 600 + "\n<assistant>\n" + "a" * 700, ("<user>\n" + "v" * 20000)[:16384]]

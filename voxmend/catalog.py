@@ -279,8 +279,9 @@ def infer_messages(spark, sf_dir):
 
 
 @query
-def training_texts(spark, sf_dir):
-    return exports.training_texts(chats(spark, sf_dir), max_length=64)
+def training_texts(spark, sf_dir, whole=False):
+    # Its SQL reads 512 characters; the production cap is the operator's default.
+    return exports.training_texts(chats(spark, sf_dir), **({} if whole else {"max_length": 64}))
 
 
 @query
