@@ -13,6 +13,7 @@ the chunks (uint8), the bitmap (a bit a chunk, low bits first, padded to 64 byte
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmend.llm.common import only, written
+from voxmend.llm.common import only, own_folder
 from voxmend.llm.tokens import definition, encoder
 
 MAGIC = b"DAC1"
 DIRECTORY_BITS = 512
 #: A segment is closed after the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 18
+SEGMENTS = "part int, segment int, first long, last long, n_docs long, n_ids long, data binary"
+PLAIN = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.row.count.limit": "1"}
 
 
 def pack(doc_ids: list[int | None], ends: np.ndarray, ids: np.ndarray) -> bytes:
@@ -115,6 +118,13 @@ class Segment:
     def document(self, k: int) -> np.ndarray:
         return self.slice(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
+    def read(self) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """(where each document starts, the checksum of its ids, all ids)."""
+        begin = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)[: len(self.ends)]
+        ids = self.slice(0, self.n_ids).astype("<u4")
+        data = memoryview(ids).cast("B")
+        return begin, [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), self.ends.tolist())], ids
+
 
 def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """The table of segments of docs (doc_id, text), in ascending doc_id: part int, segment int (in order within a part),
@@ -133,53 +143,60 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
         from pyspark import TaskContext
 
         part, tok = TaskContext.get().partitionId(), encoder(model.value)
-        end = np.array([end_id], np.uint32)
-        names, ids, size, segment, before = [], [], 0, 0, 0
+        names, ends, ids, size, segment, before = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            nonlocal names, ids, size, segment, before
-            data = pack(names, np.cumsum([len(x) for x in ids]), np.concatenate(ids))
-            row = [[part], [segment], [before], [len(names)], [size], [data]]
+            nonlocal names, ends, ids, size, segment, before
+            data = pack(names, np.concatenate(ends), np.concatenate(ids))
+            row = [[part], [segment], [before], [before + size], [len(names)], [size], [data]]
             segment, before = segment + 1, before + size
-            names, ids, size = [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["part", "segment", "first", "n_docs", "n_ids", "data"])
+            names, ends, ids, size = [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()))], ["part", "segment", "first", "last", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            for name, found in zip(batch.column("doc_id").to_pylist(), tok.column(batch.column("text"))):
-                got = np.concatenate([found, end])
-                names.append(name)
-                ids.append(got)
-                size += len(got)
-                if size >= segment_ids:
-                    yield close()
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, last, found, stops in tok.runs(batch.column("text"), end_id):
+                k, done = 0, 0
+                while k < last - first:
+                    # Up to the document that fills the segment, or to the run's end.
+                    to = min(last - first, int(np.searchsorted(stops, done + segment_ids - size)) + 1)
+                    names += doc_ids[first + k : first + to]
+                    ends.append(stops[k:to] - done + size)
+                    ids.append(found[done : stops[to - 1]])
+                    size += int(stops[to - 1]) - done
+                    k, done = to, int(stops[to - 1])
+                    if size >= segment_ids:
+                        yield close()
         if names:
             yield close()
 
-    made = sorted_docs.mapInArrow(run, "part int, segment int, first long, n_docs long, n_ids long, data binary")
-    if path is None:
-        return placed(written(made, "codes"))
-    made.write.parquet(path)
+    made = sorted_docs.mapInArrow(run, SEGMENTS)
+    path = path or f"{own_folder(spark)}/codes-{uuid.uuid4().hex}"
+    # Plain pages of one segment each: a segment is read as it was written, without its neighbours.
+    made.write.options(**PLAIN).parquet(f"{path}/segments")
+    parts = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    upto = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_first"), "n")
+    upto.coalesce(1).write.parquet(f"{path}/parts")
     return open_codes(spark, path)
 
 
 def open_codes(spark: SparkSession, path: str) -> DataFrame:
-    """The segments that write_codes left at path."""
-    return placed(spark.read.parquet(path))
-
-
-def placed(segments: DataFrame) -> DataFrame:
-    """segments with part_first, and first counted from the first part on."""
-    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    upto = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_first"))
-    return segments.join(F.broadcast(upto), "part").select("part", "segment", "part_first", (F.col("first") + F.col("part_first")).alias("first"), "n_docs", "n_ids", "data")
+    """The segments that write_codes left at path: its columns, joined to the index of parts (one row a part)."""
+    segments, parts = spark.read.schema(SEGMENTS).parquet(f"{path}/segments"), spark.read.parquet(f"{path}/parts")
+    met = segments.join(F.broadcast(parts.select("part", "part_first")), "part")
+    return met.select("part", "segment", "part_first", (F.col("first") + F.col("part_first")).alias("first"), "n_docs", "n_ids", "data")
 
 
-def token_at(segments: DataFrame, place: int) -> int:
-    """The id at a place among all ids: one segment is fetched, and nothing of it is decoded but this id."""
-    row = segments.where((F.col("first") <= place) & (F.col("first") + F.col("n_ids") > place)).select("first", "data").first()
-    if row is None:
+def token_at(spark: SparkSession, path: str, place: int) -> int:
+    """The id at a place among all ids of the codes at path. The index of parts names the part, and the scan's own filters
+    on (part, first) leave one segment's page; nothing of it is decoded but this id."""
+    part = spark.read.parquet(f"{path}/parts").where((F.col("part_first") <= place) & (F.col("part_first") + F.col("n") > place)).first()
+    if part is None:
         raise IndexError(place)
-    return Segment(row["data"])[place - row["first"]]
+    inside = place - part["part_first"]
+    rows = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").where((F.col("part") == part["part"]) & (F.col("first") <= inside) & (F.col("last") > inside))
+    row = rows.select("first", "data").first()
+    return Segment(row["data"])[inside - row["first"]]
 
 
 def read_codes(segments: DataFrame) -> DataFrame:
@@ -189,25 +206,21 @@ def read_codes(segments: DataFrame) -> DataFrame:
         for batch in batches:
             for data, first in zip(batch.column("data"), batch.column("first").to_pylist()):
                 seg = Segment(data.as_py())
-                begin = np.concatenate([[0], seg.ends[:-1]]).astype(np.int64)
-                ids = [seg.document(k) for k in range(len(seg.doc_ids))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seg.doc_ids, pa.int64()), pa.array(begin + first), pa.array(seg.ends - begin), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                begin, crc, ids = seg.read()
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, seg.n_ids).astype(np.int32)), pa.array(ids.astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(seg.doc_ids, pa.int64()), pa.array(begin + first), pa.array(seg.ends - begin), pa.array(crc, pa.int64()), lists], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     return segments.select("first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<long>")
 
 
 def digests(segments: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32 of every document, read from its segment by the rank directories."""
+    """doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32 of every document, read back from the written segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, first in zip(batch.column("data"), batch.column("first").to_pylist()):
                 seg = Segment(data.as_py())
-                begin = np.concatenate([[0], seg.ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(seg.document(k).astype("<u4").tobytes()) for k in range(len(seg.doc_ids))]
+                begin, crc, _ = seg.read()
                 yield pa.RecordBatch.from_arrays([pa.array(seg.doc_ids, pa.int64()), pa.array(begin + first), pa.array(seg.ends - begin), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return segments.select("first", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, on one machine, one of our own where it is
+    unset. On a cluster without that setting it raises: a folder of the driver's is none of the executors'."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         kept = spark.sparkContext.getCheckpointDir()
         if kept:
             return kept.rstrip("/")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="voxmend-")
         spark.sparkContext.setCheckpointDir(where)
         where = f"file://{where}"
@@ -49,15 +57,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast of any value, read by calling the result. The value's classes travel along (see voxmend.llm), which a
+    plain broadcast leaves behind: executors have no copy of this library."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(data.value)
+
+
+def worker_memory() -> dict[Any, Any]:
+    """What this Python process keeps from task to task: functions arrive by value, with new globals each time."""
+    return sys.modules.setdefault("_voxmend_worker_memory", types.ModuleType("_voxmend_worker_memory")).__dict__
+
+
 def only(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast to the given types; extra columns, whatever they are called, stay behind."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))
 
 
 def plain_strings(column: pa.Array) -> pa.Array:
-    """An Arrow string column without nulls (null: empty), with 64-bit offsets, from position 0."""
+    """An Arrow string column without nulls (null: empty), with 64-bit offsets that start at 0: Arrow's string functions
+    misread an array that a cast of a slice leaves with a later start."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.offset:
+        column = column.take(pa.array(range(len(column))))
     column = column.cast(pa.large_string())
     return column.fill_null("") if column.null_count else column
 

@@ -112,19 +112,27 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, tok, end = TaskContext.get().partitionId(), encoder(model.value), np.array([end_id], np.uint32)
+        part, tok = TaskContext.get().partitionId(), encoder(model.value)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows = []
-            for name, found in zip(batch.column("doc_id").to_pylist(), tok.column(batch.column("text"))):
-                ids = np.concatenate([found, end]).astype("<u4")
-                for piece, start in enumerate(range(0, len(ids), capacity)):
-                    here = ids[start : start + capacity]
-                    rows.append((name, piece, start, len(here), zlib.crc32(here), part, int(seen[len(here)]), *[here.tobytes()] * with_ids))
-                    seen[len(here)] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            columns = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+            for first, last, ids, ends in tok.runs(batch.column("text"), end_id):
+                begin = np.concatenate([[0], ends[:-1]])
+                n = -(-(ends - begin) // capacity)
+                doc = np.repeat(np.arange(last - first), n)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(ends[doc] - begin[doc] - start, capacity)
+                # The rank of each piece among those of its length in this part.
+                order = np.argsort(length, kind="stable")
+                heads = np.flatnonzero(np.diff(length[order], prepend=-1))
+                size = np.diff(np.append(heads, len(order)))
+                nth = np.empty(len(order), np.int64)
+                nth[order] = np.arange(len(order)) - np.repeat(heads, size) + np.repeat(seen[length[order][heads]], size)
+                seen[length[order][heads]] += size
+                data = memoryview(ids.astype("<u4")).cast("B")
+                spans = [data[4 * a : 4 * b] for a, b in zip((begin[doc] + start).tolist(), (begin[doc] + start + length).tolist())]
+                made = [batch.column("doc_id").take(pa.array(first + doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, spans), pa.int64()), pa.array(np.full(len(doc), part, np.int32)), pa.array(nth)]
+                yield pa.RecordBatch.from_arrays([*made, *[pa.array(map(bytes, spans), pa.binary())] * with_ids], names)
 
     return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids)
 

@@ -2,54 +2,74 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from voxmend.llm.common import one_thread, plain_strings
+from voxmend.llm.common import one_thread, plain_strings, worker_memory
 from voxmend.llm.wordkernel import chunks
 
 #: Distinct words, and parts of them, that a Python worker remembers; then it starts anew.
-REMEMBERED_WORDS = 1 << 20
-REMEMBERED_PARTS = 1 << 20
+REMEMBERED_WORDS = 3 << 18
+REMEMBERED_PARTS = 3 << 18
 #: ASCII punctuation (no apostrophe) that may close a word.
 _CLOSING = b"!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~-"
 #: Bytes of texts whose words are told apart at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 #: Words that go through the library in one text.
 _TOGETHER = 512
+#: What word by word encoding relies on: normalizers that look at no more than a word, and a split between a letter and punctuation.
+_NORMALIZERS = {"NFC", "Lowercase", "Replace"}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters that every Unicode version of the last twenty years has: Latin, Greek, Cyrillic, kana, Han, Hangul.
+_OLD_LETTERS = ((0x80, 0x52F), (0x3041, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+
+
+def steps(kind: dict | None, key: str) -> list[dict]:
+    """The members of a sequence in a tokenizer's definition, or the one that it is."""
+    return [] if kind is None else kind[key] if kind.get("type") == "Sequence" else [kind]
+
+
+def by_words(made: dict) -> bool:
+    """Whether a tokenizer gives a text the ids of its words (cut at ASCII white space) one after the other, and a word's
+    letters or digits and closing punctuation ids of their own: by its normalizers, its one split, and no later additions."""
+    normal, cuts = steps(made.get("normalizer"), "normalizers"), steps(made.get("pre_tokenizer"), "pretokenizers")
+    if {x["type"] for x in normal} - _NORMALIZERS or not any(x["type"] == "Lowercase" for x in normal) or made.get("truncation"):
+        return False
+    if any(x["type"] == "Replace" and (x["pattern"].get("Regex"), x["content"]) != ("\\s+", " ") for x in normal):
+        return False
+    split = [x for x in cuts if x["type"] != "ByteLevel"]
+    own = [x for x in cuts if x["type"] == "ByteLevel"]
+    return len(split) == 1 and split[0].get("pattern", {}).get("Regex") == _SPLIT and (split[0]["behavior"], split[0]["invert"]) == ("Removed", True) and all(not x["add_prefix_space"] and not x["use_regex"] for x in own)
 
 
 class WordEncoder:
-    """ids of texts under a tokenizer that lower-cases, and that cuts text at ASCII white space and between a letter and
-    punctuation before it merges anything.
+    """The ids that a tokenizer gives whole texts (add_special_tokens=False).
 
-    Such a tokenizer gives a text the ids of its words one after the other, and a word that ends in punctuation the ids
-    of both parts, so each distinct part goes through the library once and is remembered. Word number w is the parts
-    core[w] and tail[w]; the ids of part p are flat[first[p] : first[p] + count[p]], and part 0 has none. Strings of
-    special tokens in a text are ordinary text.
+    If the tokenizer works by words (see by_words), each distinct word, less its closing punctuation, goes through the
+    library once and is remembered: the ids of word w are flat[first[w] : first[w] + count[w]]. Texts that hold the
+    string of a special token, and all texts under any other tokenizer, go through the library whole.
     """
 
     def __init__(self, definition: str, words: int = REMEMBERED_WORDS, parts: int = REMEMBERED_PARTS):
         one_thread()
         from tokenizers import Tokenizer
 
+        made = json.loads(definition)
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.by_words = by_words(made)
+        self.special = [x["content"] for x in made.get("added_tokens", [])]
         self.most_words, self.most_parts = words, parts
-        self.forget_parts()
+        self.forget()
 
-    def forget_words(self) -> None:
+    def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.core, self.tail = (np.zeros(1 << 12, np.int32) for _ in range(2))
-
-    def forget_parts(self) -> None:
-        self.forget_words()
         self.part: dict[bytes, int] = {b"": 0}
         self.flat = np.zeros(1 << 12, np.uint32)
-        self.first, self.count = (np.zeros(1 << 12, np.int64) for _ in range(2))
+        self.first, self.count, self.part_first, self.part_count = (np.zeros(1 << 12, np.int32) for _ in range(4))
         self.n_flat = 0
 
     @staticmethod
@@ -61,9 +81,17 @@ class WordEncoder:
         out[: len(x)] = x
         return out
 
+    def add(self, ids: np.ndarray) -> int:
+        """Where ids now start in flat."""
+        at = self.n_flat
+        self.n_flat += len(ids)
+        self.flat = self.grown(self.flat, self.n_flat)
+        self.flat[at : self.n_flat] = ids
+        return at
+
     @staticmethod
     def cut(word: bytes) -> tuple[bytes, bytes]:
-        """The word without its closing punctuation, and that, if a letter or digit stands before it."""
+        """The word without its closing punctuation, and that, if a letter that lower-casing keeps one letter, or a digit, stands before it."""
         if not word or word[-1] not in _CLOSING:
             return word, b""
         before = word.rstrip(_CLOSING)
@@ -73,7 +101,8 @@ class WordEncoder:
         if last < 128:
             plain = 48 <= last <= 57 or 97 <= last <= 122
         else:
-            plain = before.decode()[-1].isalpha()
+            letter = before.decode()[-1]
+            plain = any(a <= ord(letter) <= b for a, b in _OLD_LETTERS) and letter.isalpha() and len(letter.lower()) == 1
         return (before, word[len(before) :]) if plain else (word, b"")
 
     def ask(self, parts: list[bytes]) -> None:
@@ -84,33 +113,36 @@ class WordEncoder:
             ids = found.ids
             ends = np.cumsum([len(t) + 1 for t in texts])
             edge = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids)), ends)
-            n, m = len(self.part), self.n_flat + len(ids)
-            self.flat = self.grown(self.flat, m)
-            self.first, self.count = self.grown(self.first, n + len(texts)), self.grown(self.count, n + len(texts))
-            self.flat[self.n_flat : m] = ids
+            at, n = self.add(np.array(ids, np.uint32)), len(self.part)
+            self.part_first, self.part_count = self.grown(self.part_first, n + len(texts)), self.grown(self.part_count, n + len(texts))
             start = np.concatenate([[0], edge[:-1]])
-            self.first[n : n + len(texts)] = self.n_flat + start
-            self.count[n : n + len(texts)] = edge - start
+            self.part_first[n : n + len(texts)], self.part_count[n : n + len(texts)] = at + start, edge - start
             self.part.update(zip(parts[a : a + _TOGETHER], range(n, n + len(texts))))
-            self.n_flat = m
 
     def learn(self, words: list[bytes]) -> None:
         pairs = list(map(self.cut, words))
         known = self.part
         self.ask(list(dict.fromkeys(p for pair in pairs for p in pair if p not in known)))
         n = len(self.number)
-        self.core, self.tail = self.grown(self.core, n + len(words)), self.grown(self.tail, n + len(words))
-        self.core[n : n + len(words)] = [known[p] for p, _ in pairs]
-        self.tail[n : n + len(words)] = [known[t] for _, t in pairs]
+        self.first, self.count = self.grown(self.first, n + len(words)), self.grown(self.count, n + len(words))
+        core, tail = (np.array([known[pair[side]] for pair in pairs], np.int64) for side in (0, 1))
+        first, count = self.part_first[core], self.part_count[core]
+        both = np.flatnonzero(tail)
+        if len(both):
+            ends = np.stack([core[both], tail[both]], axis=1).reshape(-1)
+            sizes = self.part_count[ends].astype(np.int64)
+            upto = np.cumsum(sizes)
+            at = self.add(self.flat[np.repeat(self.part_first[ends] - (upto - sizes), sizes) + np.arange(upto[-1])])
+            count[both] = sizes[0::2] + sizes[1::2]
+            first[both] = at + (upto - sizes)[0::2]
+        self.first[n : n + len(words)], self.count[n : n + len(words)] = first, count
         self.number.update(zip(words, range(n, n + len(words))))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids (uint32) of an Arrow array of texts one after the other, and where each text's start. Arrow's ASCII
+    def words_encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of an Arrow array of texts one after the other, and where each text's end. Arrow's ASCII
         functions lower A-Z and split at space and 0x09-0x0D and touch nothing else; only distinct words reach Python."""
-        if len(self.part) > self.most_parts:
-            self.forget_parts()
-        if len(self.number) > self.most_words:
-            self.forget_words()
+        if len(self.part) > self.most_parts or len(self.number) > self.most_words:
+            self.forget()
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
@@ -118,34 +150,53 @@ class WordEncoder:
         new = [w for w in distinct if w not in number]
         if new:
             self.learn(new)
-        at = np.fromiter(map(number.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        order = np.empty(2 * len(at), np.int64)
-        order[0::2], order[1::2] = self.core[at], self.tail[at]
-        count = self.count[order]
-        upto = np.concatenate([[0], np.cumsum(count)])
-        ids = self.flat[np.repeat(self.first[order] - upto[:-1], count) + np.arange(upto[-1])]
+        at = np.fromiter(map(number.__getitem__, distinct), np.int32, len(distinct))[coded.indices.to_numpy()]
+        count = self.count[at]
+        upto = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(count, out=upto[1:])
+        kind = np.int32 if max(upto[-1], self.n_flat) < 2**31 else np.int64
+        place = np.repeat(self.first[at] - upto[:-1].astype(kind), count)
+        place += np.arange(upto[-1], dtype=kind)
         where = lists.offsets.to_numpy().astype(np.int64)
-        return ids, upto[2 * (where - where[0])]
+        return self.flat[place], upto[where[1:] - where[0]]
 
-    def column(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of every text of an Arrow column (null: none), in order, some megabytes of texts at a time."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids (uint32) of an Arrow array of texts one after the other, and where each text's end."""
+        whole = np.full(len(texts), not self.by_words)
+        if self.by_words:
+            for mark in self.special:
+                whole |= pc.match_substring(texts, mark, ignore_case=True).to_numpy(zero_copy_only=False)
+            if not whole.any():
+                return self.words_encoded(texts)
+        parts: list[np.ndarray] = []
+        k = 0
+        while k < len(texts):
+            last = k + 1
+            if whole[k]:
+                parts.append(np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32))
+            else:
+                while last < len(texts) and not whole[last]:
+                    last += 1
+                ids, ends = self.words_encoded(texts.slice(k, last - k))
+                parts += np.split(ids, ends[:-1])
+            k = last
+        return np.concatenate([*parts, np.zeros(0, np.uint32)]), np.cumsum([len(x) for x in parts])
+
+    def runs(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, last, ids, ends) of runs of texts of an Arrow column (null: empty), some megabytes of texts at a time:
+        their ids one after the other, end_id behind each, and where each text's end."""
         column = plain_strings(column)
         for first, last, _, _ in chunks(column, CHUNK_BYTES):
-            ids, edge = self.encode(column.slice(first, last - first))
-            edge = edge.tolist()
-            for i, j in zip(edge, edge[1:]):
-                yield ids[i:j]
-
-
-_encoders: dict[str, WordEncoder] = {}
+            ids, ends = self.encode(column.slice(first, last - first))
+            yield first, last, np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, last - first + 1)
 
 
 def encoder(definition: str) -> WordEncoder:
-    """The worker's one encoder for this definition (the text of the tokenizer's JSON file)."""
-    if definition not in _encoders:
-        _encoders.clear()
-        _encoders[definition] = WordEncoder(definition)
-    return _encoders[definition]
+    """The worker's one encoder for this definition (the text of the tokenizer's JSON file), kept from task to task."""
+    kept = worker_memory()
+    if kept.get("definition") != definition:
+        kept["definition"], kept["encoder"] = definition, WordEncoder(definition)
+    return kept["encoder"]
 
 
 def definition(path: str) -> str:
