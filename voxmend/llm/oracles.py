@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from voxmend.llm.mixing import BLOCK_WORDS, GOLDEN, LOW_BITS, MAX_EPOCHS, RING, SEED, WEIGHTS
 from voxmend.llm.quality import LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_PERCENT
 from voxmend.llm.urls import RULES
 
@@ -66,4 +67,22 @@ p AS (SELECT page_id, host, path, {node} AS node FROM (SELECT page_id, {parts('u
 SELECT page_id, host, path, {case(0)} AS rule, coalesce({case(1)}, CASE WHEN p.node IN (SELECT node FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict FROM p"""
 
 
-SQL = {"op2_repetition_rules": quality(), "op9_redirect_rules": rules()}
+def mix() -> str:
+    low, block = 1 << LOW_BITS, BLOCK_WORDS
+    return rf"""WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h, md5(coalesce(text, '')) AS mark FROM documents),
+s AS (SELECT source, source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)),
+w AS (SELECT *, {list(WEIGHTS)}[(sid % {len(WEIGHTS)} + 1)::INT]::DOUBLE AS weight, (source_size * {MAX_EPOCHS})::DOUBLE AS cap FROM s),
+v AS (SELECT *, (sum(source_size) OVER ())::DOUBLE AS total, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS w_left
+  FROM w WINDOW b AS (ORDER BY cap / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, cap * w_left <= rest * weight AS capped FROM v),
+t AS (SELECT *, CASE WHEN capped THEN cap ELSE (max(total) OVER () - coalesce(sum(cap) FILTER (capped) OVER (), 0)) * weight / sum(weight) FILTER (NOT capped) OVER () END AS target FROM c),
+r AS (SELECT *, round(coalesce(sum(target) OVER (ORDER BY sid ROWS UNBOUNDED PRECEDING) / nullif(sum(target) OVER (), 0), 0) * {RING})::BIGINT AS hi FROM t),
+ring AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo, CASE WHEN source_size > 0 THEN (source_size + {block - 1}) // {block} END AS blocks FROM r),
+slots AS (SELECT ((i % {low}) * {GOLDEN} + (i // {low}) * {GOLDEN * low % RING}) % {RING} AS x FROM range((SELECT (coalesce(sum(source_size), 0)::BIGINT + {block - 1}) // {block} FROM s)) AS u(i)),
+n AS (SELECT sid, least(count(*), any_value(blocks) * {MAX_EPOCHS}) AS n FROM slots JOIN ring ON lo <= x AND x < hi GROUP BY sid),
+placed AS (SELECT d.doc_id, d.size, ring.source_size, ring.target, n.n, blocks, (sum(d.size) OVER (PARTITION BY ring.sid ORDER BY h, mark ROWS UNBOUNDED PRECEDING))::BIGINT - d.size AS start
+  FROM sized d JOIN ring ON d.source IS NOT DISTINCT FROM ring.source LEFT JOIN n ON n.sid = ring.sid)
+SELECT doc_id, size, source_size, target, coalesce((n // blocks) * size + greatest(0, least(start + size, (n % blocks) * {block}) - start), 0)::BIGINT AS taken FROM placed"""
+
+
+SQL = {"op10_golden_mix": mix(), "op2_repetition_rules": quality(), "op9_redirect_rules": rules()}
