@@ -9,9 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from voxmend.llm.common import only
+from voxmend.llm.common import only, shipped
 from voxmend.llm.wordkernel import LOWER, chunks
 
 WINDOW_BYTES = 256
@@ -22,8 +21,9 @@ EMBEDDING = 8
 DOCS_PER_LANG = 400
 WINDOWS_PER_DOC = 4
 EPOCHS = 10
-#: Parts that the documents of a language are ranked in before they are ranked together.
-SALTS = 64
+#: How many times the sample a hash bound aims at, and how many languages are learned at most.
+SPARE = 1.5
+MAX_LANGS = 256
 UNKNOWN = "und"
 #: A document is kept by keep_identified if its language's mean probability over windows is at least this.
 MIN_SCORE = 0.5
@@ -143,42 +143,45 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc: int = WINDOWS_PER_DOC) -> ByteNet | None:
+def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, windows_per_doc: int = WINDOWS_PER_DOC, max_langs: int = MAX_LANGS) -> ByteNet | None:
     """A network from docs (doc_id, text, lang), or None without a labelled text.
 
-    The fit is on a bounded sample: of each lang the docs_per_lang documents lowest in a hash, among those not held out with
-    text and lang, and windows_per_doc windows spread over each. Nothing but these windows comes to the driver.
+    The fit is on a bounded sample: of each lang (the max_langs most frequent) the docs_per_lang distinct texts lowest in a
+    hash, among rows not held out with doc_id, text and lang, and windows_per_doc windows spread over each. A hash bound
+    by each lang's rows leaves about SPARE times as many in the scan, so no lang is ranked or gathered anywhere; equal
+    texts count once, however many rows or ids they have. Nothing but these windows comes to the driver.
     """
     rows = only(docs, doc_id="long", text="string", lang="string").where("doc_id is not null and lang is not null and text is not null and text <> ''").where(~held_out())
-    # First within salted parts of a language, so that a language with most of the rows isn't ranked in one task.
-    ranked = rows.select("doc_id", "lang", F.xxhash64("doc_id", F.lit(5)).alias("h"), F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(SALTS)).alias("salt"))
-    for keys in (["lang", "salt"], ["lang"]):
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("h", "doc_id"))
-        ranked = ranked.withColumn("place", place).where(F.col("place") <= docs_per_lang).drop("place")
-    chosen = ranked.select("doc_id", "lang").distinct()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_langs).collect()
+    if not counts:
+        return None
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, SPARE * docs_per_lang / r["n"]))))
+    marked = rows.select("text", "lang", F.xxhash64("text", F.lit(5)).alias("mark"))
+    low = F.shiftrightunsigned("mark", 11).cast("double") / float(1 << 53)
+    near = marked.where(low < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, data, off in chunks(batch.column("text")):
+            for first, last, data, off in chunks(batch.column("text")):
                 data = LOWER[data]
                 start, doc = windows_of(data, off)
-                n = np.bincount(doc, minlength=len(off) - 1)
+                n = np.bincount(doc, minlength=last - first)
                 head = np.cumsum(n) - n
-                pick = np.unique(np.concatenate([head + n * k // windows_per_doc for k in range(windows_per_doc)]))
-                found = laid_out(data, off, start[pick], doc[pick])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(first + doc[pick])), batch.column("lang").take(pa.array(first + doc[pick])), pa.array([x.tobytes() for x in found], pa.binary())],
-                    ["doc_id", "lang", "window"],
-                )
-
-    # The broadcast side has docs_per_lang rows a language at most.
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").mapInArrow(spread, "doc_id long, lang string, window binary").toPandas()
+                found = []
+                for d in range(last - first):
+                    pick = np.unique(head[d] + n[d] * np.arange(windows_per_doc) // windows_per_doc)
+                    found.append(laid_out(data, off, start[pick], doc[pick]).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(first, last - first), batch.column("mark").slice(first, last - first), pa.array(found, pa.binary())], ["lang", "mark", "windows"])
+
+    sample = near.mapInArrow(spread, "lang string, mark long, windows binary").dropDuplicates(["lang", "mark"]).toPandas()
+    sample["rank"] = sample["mark"].astype("uint64")
+    sample = sample.sort_values(["lang", "rank"], kind="stable").groupby("lang").head(docs_per_lang)
     if not len(sample):
         return None
-    sample = sample.sort_values(["lang", "doc_id", "window"], kind="stable")
     langs = sorted(sample["lang"].unique())
-    windows = np.frombuffer(b"".join(sample["window"]), np.uint8).reshape(len(sample), -1)
-    return train(windows, sample["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), langs)
+    each = [np.frombuffer(x, np.uint8).reshape(-1, WINDOW_BYTES + _PAD) for x in sample["windows"]]
+    labels = np.repeat(sample["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), [len(x) for x in each])
+    return train(np.concatenate(each), labels, langs)
 
 
 def languages(net: ByteNet | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
@@ -218,11 +221,12 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     text if nothing was learned. score is that lang's mean probability over the windows of the whole text. Ties go to the lang first in
     code point order. Repeated rows are predicted alike. An empty table gives no rows; extra columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = shipped(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for batch in batches:
-            names, scores = languages(shared.value, batch.column("text"))
+            names, scores = languages(model, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = only(docs, doc_id="long", text="string").withColumn("held_out", held_out())
@@ -230,12 +234,22 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs, with their columns, whose language is known and has at least min_score; fitted on docs themselves."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    """The rows of docs (doc_id, text, lang and more), with their columns, whose language is known and has at least min_score;
+    fitted on docs themselves.
+
+    Rows with a null or empty text, or without a letter, go. If nothing can be learned, as no row has a lang, the network
+    tells nothing about any row, and all rows stay. Repeated rows are treated alike; a null doc_id or lang is no reason to
+    go; an empty table stays empty.
+    """
+    net = fit(docs)
+    if net is None:
+        return docs
+    shared = shipped(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for batch in batches:
-            names, scores = languages(shared.value, batch.column("text"))
-            yield batch.filter(pa.array((np.array(names) != UNKNOWN) & (scores >= min_score)))
+            names, scores = languages(model, batch.column("text"))
+            yield batch.filter(pa.array((np.array(names, object) != UNKNOWN) & (scores >= min_score)))
 
     return docs.mapInArrow(run, docs.schema)
