@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from voxmend.llm.boosting import Boosted, boost
-from voxmend.llm.common import only
+from voxmend.llm.common import only, shipped
 from voxmend.llm.dom import Page, features
 
 #: Stands before main text in training pages; it never reaches the features' text.
@@ -235,13 +235,14 @@ def extract(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     text: empty text, 0 characters. Unclosed and broken markup is read as browsers would. Repeated rows are extracted
     alike; null ids and urls stay null; an empty table gives no rows; extra columns are ignored.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(model or trained())
+    shared = shipped(pages.sparkSession, model or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = shared()
         for batch in batches:
             for a in range(0, batch.num_rows, BATCH_PAGES):
                 part = batch.slice(a, BATCH_PAGES)
-                texts = main_texts([s or "" for s in part.column("html").to_pylist()], shared.value)
+                texts = main_texts([s or "" for s in part.column("html").to_pylist()], trees)
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return only(pages, page_id="long", url="string", html="string").mapInArrow(run, "page_id long, url string, text string, n_chars long")
