@@ -203,14 +203,21 @@ class Trainer:
         self.rate, self.streams, self.steps, self.n, self.seen, self.loss = rate, streams, steps, 0, 0, 0.0
         self.m, self.v = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
 
-    def feed(self, symbols: np.ndarray) -> None:
-        """Cuts the run into streams and walks along them; what does not fill a last step is left out of no more than
-        the streams' ends."""
-        streams = max(1, min(self.streams, len(symbols) // 64))
-        length = len(symbols) // streams
-        if not length:
-            return
-        y = symbols[: streams * length].reshape(streams, length).T
+    def feed(self, symbols: np.ndarray, last: bool = True) -> np.ndarray:
+        """Cuts the run into streams of one length and walks along them. Returns what fills no whole stream, to go before
+        the next run; of the last run this remainder is walked along too, in fewer streams, until nothing is left."""
+        while len(symbols):
+            streams = max(1, min(self.streams, len(symbols) // 64))
+            length = len(symbols) // streams
+            self.walk(symbols[: streams * length].reshape(streams, length).T)
+            symbols = symbols[streams * length :]
+            if not last:
+                break
+        return symbols
+
+    def walk(self, y: np.ndarray) -> None:
+        """Learns from streams (columns) of symbols, each stream on from the end of the one before it."""
+        length, streams = y.shape
         x = np.vstack([np.full((1, streams), END, y.dtype), y[:-1]])
         x[0, 1:] = y[-1, :-1]
         h = np.zeros((streams, HIDDEN), np.float32)

@@ -11,14 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmend.llm import gru
-from voxmend.llm.common import one_thread, only, written
+from voxmend.llm.common import one_thread, only, shipped, written
 from voxmend.llm.wordkernel import LOWER, Layout, chunks
 
 #: Words whose counts every task holds; counts of the others are joined.
 KNOWN_WORDS = 200_000
-#: Documents (lowest in a hash) that the common starting point is fitted on; every training document is learned from after that.
+#: Distinct texts, about (those low in a hash), that the common starting point is fitted on; every training document is learned from after that.
 START_DOCS = 1500
-START_RATE, RATE = 0.01, 0.003
+START_RATE = 0.01
+#: Learning rates of the rounds; each round learns from its share of the documents and ends with one network for all shards.
+ROUND_RATES = (0.003, 0.002)
+#: Tokens of a shard, about: what one network learns from alone in all rounds; and the most shards, which are larger then.
+SHARD_TOKENS = 1 << 20
+MAX_SHARDS = 1 << 16
+#: Shards whose networks are averaged in one task.
+GROUP_SHARDS = 256
+#: Counts are told apart in so many steps to a doubling when the most frequent words are looked for.
+COUNT_STEPS = 16
 #: Symbols that a task gathers before it runs the network over them.
 GATHERED = 1 << 20
 _PUNCTUATION = np.zeros(256, bool)
@@ -107,8 +116,21 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int, known: int = KNOWN_WORDS) -> Vocabulary:
-    """From counts (hash, tail, count): the known most frequent words and sums come to the driver, nothing that grows."""
-    top = counts.orderBy(F.col("count").desc(), "hash").limit(known).toPandas()
+    """From counts (hash, tail, count): about the known most frequent words and sums come to the driver, nothing that grows.
+
+    How many words have counts of each size (COUNT_STEPS sizes to a doubling) says from which size on words are taken;
+    of that size itself, those low in a hash.
+    """
+    sized = counts.withColumn("size", F.floor(F.log2("count") * COUNT_STEPS).cast("int"))
+    above, least, share = 0, 1 << 30, 1.0
+    for r in sized.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.col("size").desc()).collect():
+        if above >= known:
+            break
+        least, share = r["size"], min(1.0, (known - above) / r["n"])
+        above += r["n"]
+    low = F.shiftrightunsigned(F.xxhash64("hash"), 11).cast("double") / float(1 << 53)
+    top = sized.where((F.col("size") > least) | ((F.col("size") == least) & (low < share))).select("hash", "tail", "count").toPandas()
+    top = top.sort_values(["count", "hash"], ascending=[False, True], kind="stable")
     frequent = top.head(gru.HEAD - 1)
     mass, distinct = (np.zeros(gru.TAIL_CLASSES) for _ in range(2))
     n = v = 0
@@ -122,49 +144,127 @@ def vocabulary(counts: DataFrame, ends: int, known: int = KNOWN_WORDS) -> Vocabu
     return Vocabulary(top["hash"].to_numpy(np.int64), top["count"].to_numpy(np.float64), mass, distinct, n + ends, v + (ends > 0), ends)
 
 
-def learned(docs: DataFrame, vocab, start: gru.Params, rate: float) -> gru.Params:
-    """The network after one pass over docs (text): each task goes on from start over its own documents, and the networks
-    are averaged by the symbols they saw, first in groups on executors, then on the driver: about the square root of the
-    number of tasks of them, of one size each."""
+def prepared(rows: DataFrame, found: Vocabulary) -> DataFrame:
+    """row, doc_id, held_out, mark (a hash of the text), n_tokens, n_known, base, inside, rare (hashes of words whose counts
+    are not held), symbols (little-endian uint16) of rows (doc_id, text, held_out): one scan, no shuffle."""
+    vocab = shipped(rows.sparkSession, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, nth, v = TaskContext.get().partitionId(), 0, vocab()
+        for batch in batches:
+            for first, last, data, off in chunks(batch.column("text")):
+                at, hashes, tail = words(LOWER[data], off)
+                symbols, places, where, held, symbol = v.symbols(at, hashes, tail)
+                counted = np.where(held, v.log_count[where] if len(v.log_count) else 0.0, 0.0)
+                inside = at.per_text_words(np.where(symbol >= gru.HEAD, counted - v.tail_log[tail], 0.0))
+                base = at.per_text_words(counted) + math.log10(v.ends + 1.0)
+                n = last - first
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at.per_text_words(~held))]).astype(np.int32)), pa.array(hashes[~held]))
+                raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * places).astype("<i4")), pa.py_buffer(symbols.astype("<u2"))])
+                row = (np.int64(part) << np.int64(40)) + np.arange(nth, nth + n)
+                nth += n
+                names = [batch.column(c).slice(first, n) for c in ("doc_id", "held_out", "mark")]
+                yield pa.RecordBatch.from_arrays([pa.array(row), *names, pa.array(at.n_words + 1), pa.array(at.per_text_words(held) + (v.ends > 0)), pa.array(base), pa.array(inside), rare, raw], ["row", "doc_id", "held_out", "mark", "n_tokens", "n_known", "base", "inside", "rare", "symbols"])
+
+    ready = rows.select("doc_id", "held_out", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    return ready.mapInArrow(run, "row long, doc_id long, held_out boolean, mark long, n_tokens long, n_known long, base double, inside double, rare array<long>, symbols binary")
+
+
+def symbols_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2").astype(np.int64) for x in column]
+
+
+def learned(ready: DataFrame, start: gru.Params, rate: float, shards: int) -> gru.Params:
+    """The network after one pass over ready (mark, doc_id, symbols): every shard goes on from start over its own documents,
+    and the networks are averaged by the symbols they saw.
+
+    A document's shard, and its place in it, follow from hashes of its text and doc_id alone, and sums run in the order of
+    shards: the result does not depend on how rows are dealt out. Networks are summed in groups on executors, and the
+    driver gets one of a fixed size for each group.
+    """
+    spark = ready.sparkSession
+
+    def rows_of(shard: int, weights: bytes, seen: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([weights], pa.binary()), pa.array([seen], pa.int64())], ["shard", "weights", "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        teacher, waiting, size = gru.Trainer(gru.unpack(start_bytes.value), rate), [], 0
+        now, teacher = None, None
+        waiting: list[np.ndarray] = []
+        size = 0
+
+        def fed(last: bool) -> None:
+            nonlocal waiting, size
+            rest = teacher.feed(np.concatenate(waiting), last)
+            waiting, size = [rest], len(rest)
+
         for batch in batches:
-            for _, _, data, off in chunks(batch.column("text")):
-                symbols = vocab.value.symbols(*words(LOWER[data], off))[0]
+            for shard, symbols in zip(batch.column("shard").to_pylist(), symbols_of(batch.column("symbols"))):
+                if shard != now:
+                    if teacher:
+                        fed(True)
+                        yield rows_of(now, gru.pack(teacher.p), teacher.seen)
+                    now, teacher, waiting, size = shard, gru.Trainer(gru.unpack(start_bytes.value), rate), [], 0
                 waiting.append(symbols)
                 size += len(symbols)
                 if size >= GATHERED:
-                    teacher.feed(np.concatenate(waiting))
-                    waiting, size = [], 0
-        if waiting:
-            teacher.feed(np.concatenate(waiting))
-        if teacher.seen:
-            yield rows_of(gru.pack(teacher.p), teacher.seen)
+                    fed(False)
+        if teacher:
+            fed(True)
+            yield rows_of(now, gru.pack(teacher.p), teacher.seen)
 
-    def rows_of(weights: bytes, seen: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([weights], pa.binary()), pa.array([seen], pa.int64())], ["weights", "seen"])
-
-    def mean(pairs: Iterator[tuple[bytes, int]]) -> tuple[np.ndarray, int]:
+    def summed(pairs: Iterator[tuple[bytes, str, int]]) -> tuple[np.ndarray, int]:
         total, n = np.zeros(0), 0
-        for weights, seen in pairs:
-            part = np.frombuffer(weights, "<f4").astype(np.float64) * seen
+        for weights, kind, seen in pairs:
+            part = np.frombuffer(weights, kind).astype(np.float64) * (seen if kind == "<f4" else 1)
             total, n = (part if not n else total + part), n + seen
         return total, n
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = mean((w.as_py(), s.as_py()) for b in batches for w, s in zip(b.column("weights"), b.column("seen")))
-        if n:
-            yield rows_of((total / n).astype("<f4").tobytes(), n)
-
-    start_bytes = docs.sparkSession.sparkContext.broadcast(gru.pack(start))
-    each = written(docs.select("text").mapInArrow(run, "weights binary, seen long"), "networks")
-    groups = max(1, math.isqrt(each.count()))
-    total, n = mean((r["weights"], r["seen"]) for r in each.repartition(groups, F.xxhash64("weights")).mapInArrow(joined, "weights binary, seen long").collect())
+        now, pairs = None, []
+        for batch in batches:
+            for shard, weights, seen in zip(*(batch.column(c).to_pylist() for c in ("shard", "weights", "seen"))):
+                group = shard // GROUP_SHARDS
+                if group != now and pairs:
+                    total, n = summed(pairs)
+                    yield rows_of(now, total.tobytes(), n)
+                    pairs = []
+                now = group
+                pairs.append((weights, "<f4", seen))
+        if pairs:
+            total, n = summed(pairs)
+            yield rows_of(now, total.tobytes(), n)
+
+    start_bytes = spark.sparkContext.broadcast(gru.pack(start))
+    kinds = "shard int, weights binary, seen long"
+    dealt = ready.select(F.pmod(F.xxhash64("mark", F.lit(9)), F.lit(shards)).cast("int").alias("shard"), "mark", "doc_id", "symbols")
+    dealt = dealt.repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "mark", "doc_id").select("shard", "symbols")
+    each = written(dealt.mapInArrow(run, kinds), "networks")
+    groups = each.repartition(-(-shards // GROUP_SHARDS), F.floor(F.col("shard") / GROUP_SHARDS)).sortWithinPartitions("shard").mapInArrow(joined, kinds)
+    total, n = summed((r["weights"], "<f8", r["seen"]) for r in sorted(groups.collect(), key=lambda r: r["shard"]))
     return gru.unpack((total / n).astype("<f4").tobytes()) if n else start
 
 
+def trained(ready: DataFrame, tokens: int, texts: int, start_docs: int = START_DOCS) -> gru.Params:
+    """The network of ready (mark, doc_id, symbols), which has so many tokens and rows.
+
+    A start is fitted on the distinct texts below a hash bound that start_docs of all would be under; then every row is
+    learned from once, in the rounds of ROUND_RATES, by shards whose number depends on tokens alone.
+    """
+    if not texts:
+        return gru.fresh()
+    low = F.shiftrightunsigned(F.xxhash64("mark", F.lit(3)), 11).cast("double") / float(1 << 53)
+    sample = ready.where(low < start_docs / texts).dropDuplicates(["mark"]).withColumn("doc_id", F.lit(0).cast("long"))
+    network = learned(sample, gru.fresh(), START_RATE, 1)
+    shards = max(1, min(MAX_SHARDS, -(-tokens // SHARD_TOKENS)))
+    turn = F.pmod(F.xxhash64("mark", "doc_id", F.lit(4)), F.lit(len(ROUND_RATES)))
+    for k, rate in enumerate(ROUND_RATES):
+        network = learned(ready.where(turn == k), network, rate, shards)
+    return network
+
+
 def scores(docs: DataFrame, known: int = KNOWN_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
 
@@ -177,7 +277,8 @@ def scores(docs: DataFrame, known: int = KNOWN_WORDS) -> DataFrame:
     Null or empty text: the end only. Repeated rows are scored alike and all learned from. A null doc_id is not held
     out. Without training documents counts are 0, N and V are 0, and the network is the untrained one. An empty table
     gives no rows; extra columns are ignored. Words are told apart by 64-bit hashes. Counts cover the whole corpus in
-    a table in the shared folder; tasks hold the counts of the known most frequent words, and the rest are joined.
+    a table in the shared folder; tasks hold the counts of about the known most frequent words, and the rest are joined.
+    The scores do not depend on how rows are dealt out, but for rounding in the last places.
     """
     spark = docs.sparkSession
     rows = only(docs, doc_id="long", text="string").withColumn("held_out", held_out())
@@ -185,60 +286,36 @@ def scores(docs: DataFrame, known: int = KNOWN_WORDS) -> DataFrame:
     counts = written(word_counts(training), "counts")
     ends = training.count()
     found = vocabulary(counts, ends, known)
-    vocab = spark.sparkContext.broadcast(found)
-    pick = training.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(START_DOCS).distinct()
-    # The broadcast side has START_DOCS rows at most.
-    sample = written(training.join(F.broadcast(pick), "doc_id", "left_semi"), "start")
-    start = learned(sample.coalesce(1), vocab, gru.fresh(), START_RATE)
-    network = spark.sparkContext.broadcast(gru.pack(learned(training, vocab, start, RATE)))
+    ready = written(prepared(rows, found), "prepared")
+    network = spark.sparkContext.broadcast(gru.pack(trained(ready.where("not held_out").select("mark", "doc_id", "symbols"), int(found.n), ends)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         one_thread()
-        p, v = gru.unpack(network.value), vocab.value
-        part, nth = TaskContext.get().partitionId(), 0
-        waiting: list[tuple] = []
-        size = 0
-
-        def scored() -> pa.RecordBatch:
-            nonlocal nth
-            names, held, tokens, sure, base, inside, rare, symbols = zip(*waiting)
-            off = np.concatenate([[0], np.cumsum(np.concatenate(tokens))])
-            net = gru.document_scores(p, np.concatenate(symbols), off) / math.log(10)
-            n = len(off) - 1
-            row = (np.int64(part) << np.int64(40)) + np.arange(nth, nth + n)
-            nth += n
-            rare_off = np.concatenate([[0], np.cumsum(np.concatenate([x[1] for x in rare]))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(rare_off), pa.array(np.concatenate([x[0] for x in rare])))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(row), pa.concat_arrays(names), pa.concat_arrays(held), pa.array(off[1:] - off[:-1]), pa.array(np.concatenate(sure)), pa.array(np.concatenate(base)), pa.array(net + np.concatenate(inside)), lists],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "net", "rare"],
-            )
-
+        p = gru.unpack(network.value)
         for batch in batches:
-            for first, last, data, off in chunks(batch.column("text")):
-                at, hashes, tail = words(LOWER[data], off)
-                symbols, _, where, held, symbol = v.symbols(at, hashes, tail)
-                counted = np.where(held, v.log_count[where] if len(v.log_count) else 0.0, 0.0)
-                in_tail = symbol >= gru.HEAD
-                inside = at.per_text_words(np.where(in_tail, counted - v.tail_log[tail], 0.0))
-                base = at.per_text_words(counted) + math.log10(v.ends + 1.0)
-                waiting.append(
-                    (batch.column("doc_id").slice(first, last - first), batch.column("held_out").slice(first, last - first), at.n_words + 1, at.per_text_words(held) + (v.ends > 0), base, inside, (hashes[~held], at.per_text_words(~held)), symbols)
-                )
-                size += len(symbols)
+            symbols = symbols_of(batch.column("symbols"))
+            if not symbols:
+                continue
+            cuts, size = [0], 0
+            for k, x in enumerate(symbols):
+                size += len(x)
                 if size >= GATHERED:
-                    yield scored()
-                    waiting, size = [], 0
-        if waiting:
-            yield scored()
-
-    partial = written(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, net double, rare array<long>"), "partial")
-    rare = partial.where(F.size("rare") > 0).select("row", F.explode("rare").alias("hash")).join(counts.select("hash", "count"), "hash")
+                    cuts.append(k + 1)
+                    size = 0
+            for a, b in zip(cuts, [*cuts[1:], len(symbols)]):
+                if a < b:
+                    off = np.concatenate([[0], np.cumsum([len(x) for x in symbols[a:b]])])
+                    net = gru.document_scores(p, np.concatenate(symbols[a:b]), off) / math.log(10)
+                    kept = [batch.column(c).slice(a, b - a) for c in names]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(net)], [*names, "net"])
+
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside"]
+    kinds = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inside double"
+    scored = ready.select(*names, "symbols").mapInArrow(run, f"{kinds}, net double")
+    rare = ready.where(F.size("rare") > 0).select("row", F.explode("rare").alias("hash")).join(counts.select("hash", "count"), "hash")
     sums = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("count") + 1.0)).alias("rare_log")).withColumnRenamed("row", "of")
     log_all = math.log10(found.n + found.v + 1.0)
-    out = partial.drop("rare").join(sums, F.col("row") == F.col("of"), "left")
+    out = scored.join(sums, F.col("row") == F.col("of"), "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     return out.select(
         "doc_id",
@@ -247,5 +324,5 @@ def scores(docs: DataFrame, known: int = KNOWN_WORDS) -> DataFrame:
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(found.n).cast("long").alias("train_tokens"),
         (F.col("base") + rare_log - F.col("n_tokens") * log_all).alias("base_score"),
-        (F.col("net") + rare_log).alias("score"),
+        (F.col("net") + F.col("inside") + rare_log).alias("score"),
     )
