@@ -3,16 +3,19 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from llm_fixtures import LOWER, words
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxmend.llm import codes, gru, langid, lm, mixing, packing, quality, simhash, winnow
+from voxmend.llm import codes, gru, langid, lm, mixing, packing, quality, simhash, tokens, winnow
 from voxmend.llm.components import components
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -25,7 +28,6 @@ def key(x):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -46,14 +48,34 @@ def test_codes(docs, rows, nothing, library):
 
 
 def test_codes_at_a_path(spark, docs, tmp_path, library):
-    few = docs.where("doc_id < 20")
-    made = codes.write_codes(few, VOCABULARY, 2, str(tmp_path / "codes"), segment_ids=300)
-    again = codes.open_codes(spark, str(tmp_path / "codes"))
-    whole = [i for r in codes.read_codes(again).orderBy("start").collect() for i in r["ids"]]
-    assert made.count() > 3 and [codes.token_at(again, k) for k in range(0, len(whole), 211)] == whole[::211]
+    few, path = docs.where("doc_id < 20"), str(tmp_path / "codes")
+    made = codes.write_codes(few, VOCABULARY, 2, path, segment_ids=300)
+    whole = [i for r in codes.read_codes(codes.open_codes(spark, path)).orderBy("start").collect() for i in r["ids"]]
+    assert made.count() > 3 and [codes.token_at(spark, path, k) for k in range(0, len(whole), 211)] == whole[::211]
     assert whole[-1] == 2
     with pytest.raises(IndexError):
-        codes.token_at(again, len(whole))
+        codes.token_at(spark, path, len(whole))
+
+
+def test_ids_equal_the_library(library):
+    rng = random.Random(1)
+    pieces = ["İ", "I", "i̇", "ß", "é", "e\u0301", "Σ", "ς", "ǅ", "ﬁ", "中", "か", "한", " ", "\n", "\t", "\x85", "\xa0", "\u3000", ".", ",", "'s", "'", "!!", "--"]
+    pieces += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "1", "23", "½", "²", "٣", "a", "The", "word", "\U0001f600", "\u0301", "\u0338", "=", "<", ">", "_", "@", "\x00", "\x1c", "ᲀ", "אב", "don't", "I'll."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(20000)]
+    for made in (tokens.WordEncoder(tokens.definition(VOCABULARY), words=3000, parts=2000), tokens.WordEncoder(tokens.definition(VOCABULARY))):
+        for a in range(0, len(texts), 5000):
+            (_, _, ids, ends), = made.runs(pa.array(texts[a : a + 5000]).slice(1), 2)
+            got = [x.tolist() for x in np.split(ids, ends)[:-1]]
+            assert got == [[*library(t), 2] for t in texts[a + 1 : a + 5000]]
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    made, own = tokens.WordEncoder(tokens.definition(path)), Tokenizer.from_file(path)
+    texts = ["The Words, and  spaces.", "", "x" * 50, " a<|endoftext|>b "]
+    assert not made.by_words
+    (_, _, ids, ends), = made.runs(pa.array(texts), 7)
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [[*own.encode(t, add_special_tokens=False).ids, 7] for t in texts]
 
 
 def test_sequences(docs):
@@ -162,6 +184,27 @@ def test_languages(docs, rows, nothing):
     assert kept.schema == docs.schema and 100 not in {r["doc_id"] for r in kept.collect()}
 
 
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs, langid.fit(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) > 200 and np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.98
+
+
+def test_the_language_sample_keeps_its_bound(spark, monkeypatch):
+    """One id over thousands of texts, and one text over thousands of ids."""
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda windows, labels, langs: seen.append(len(windows)))
+    rows = [(7, f"a text of its own number {i}", "en") for i in range(3000)] + [(i, "ever the same", "de") for i in range(3000)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), docs_per_lang=50, windows_per_doc=2)
+    assert seen and 40 <= seen[0] <= 2 * 50 + 2
+
+
+def test_languages_without_labels(spark, docs):
+    unlabelled = docs.drop("lang").withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(unlabelled).count() == docs.count()
+    assert langid.keep_identified(docs.where("false")).count() == 0
+
+
 def test_winnowing(docs, rows, nothing):
     got = winnow.edited_likeness(docs).collect()
     assert len(got) == len(rows)
@@ -213,6 +256,32 @@ def test_scores(docs, rows, nothing):
     assert lm.scores(nothing).count() == 0
 
 
+@pytest.fixture(scope="module")
+def table(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+
+
+def test_the_network_beats_counts_whatever_the_layout(table, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1 << 17)
+    made = [{r["doc_id"]: r for r in lm.scores(table.repartition(n)).collect()} for n in (1, 4, 16)]
+    for other in made[1:]:
+        for k, r in made[0].items():
+            assert abs(other[k]["score"] - r["score"]) <= 1e-6 * abs(r["score"]) and abs(other[k]["base_score"] - r["base_score"]) <= 1e-9 * abs(r["base_score"])
+    held = [r for r in made[0].values() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in held)
+    score, base = (sum(r[c] for r in held) / tokens for c in ("score", "base_score"))
+    monkeypatch.setattr(lm, "trained", lambda *a: gru.fresh())
+    untrained = sum(r["score"] for r in lm.scores(table).collect() if r["held_out"]) / tokens
+    assert score > base + 0.15 and score > untrained + 0.15
+
+
+def test_every_symbol_is_learned_from():
+    for n in (0, 1, 63, 64, 700, 33000):
+        teacher = gru.Trainer(gru.fresh(), 0.01)
+        rest = teacher.feed(np.arange(n) % gru.SYMBOLS, False)
+        assert teacher.seen + len(rest) == n and len(teacher.feed(rest)) == 0 and teacher.seen == n
+
+
 def test_network_carries_state_and_has_right_gradients():
     rng = np.random.default_rng(4)
     p = {k: v.astype(np.float64) for k, v in gru.fresh().items()}
@@ -298,6 +367,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_taken_words_are_those_of_the_schedule(spark):
+    """The closed form against slots joined to blocks, word by word."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" for _ in range(rng.choice([0, 1, 5, 31, 32, 33, 100, 700]))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
+    sizes = docs.select("source", F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long").alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    sources = mixing.source_targets(sizes)
+    times = collections.Counter((r["sid"], r["block"]) for r in mixing.schedule(sources, sum(r["source_size"] for r in sizes.collect())).collect())
+    for r in got:
+        assert r["taken"] == sum(times[r["sid"], k // mixing.BLOCK_WORDS] for k in range(r["start"], r["start"] + r["size"]))
+    order = sorted((r for r in got if r["sid"] == 0), key=lambda r: (hashlib.md5(f"{mixing.SEED}:{r['doc_id']}".encode()).hexdigest()))
+    assert [r["start"] for r in order] == [sum(x["size"] for x in order[:k]) for k in range(len(order))]
+
+
+def test_documents_come_as_often_as_the_mix_takes_them(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words_of = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0))
+    taken = mixing.repeated_as_mixed(docs).groupBy("source").agg(F.sum(words_of).alias("n"))
+    want = {r["source"]: r["t"] for r in mixing.mix(docs).groupBy("source").agg(F.max("target").alias("t")).collect()}
+    got = {r["source"]: r["n"] for r in taken.collect()}
+    assert set(got) == set(want) and all(abs(got[s] - t) <= 0.02 * t + 2000 for s, t in want.items())
+
+
 def targets(sizes, weights=(5, 2, 1), cap=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
@@ -329,6 +422,7 @@ def test_mix(docs, rows, nothing):
     assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, got))
     assert mixing.mix(nothing).count() == 0
     assert {(r["target"], r["taken"]) for r in mixing.mix(docs.where("doc_id in (100, 101, 102)")).collect()} == {(0.0, 0)}
+    assert mixing.repeated_as_mixed(nothing).count() == 0
     mixed = mixing.repeated_as_mixed(docs)
     assert mixed.schema.names == docs.schema.names
     assert set(r["doc_id"] for r in mixed.collect()) <= {r["doc_id"] for r in got if r["taken"]}
