@@ -205,31 +205,67 @@ def test_languages_without_labels(spark, docs):
     assert langid.keep_identified(docs.where("false")).count() == 0
 
 
+def winnowed(text, k=5, w=8):
+    """(hash, place) of the selected grams: rolled word by word, the rightmost minimum taken window by window."""
+    full = (1 << 64) - 1
+
+    def turn(x, n):
+        return (x << n | x >> (64 - n)) & full if n % 64 else x
+
+    hs = [xxhash.xxh64_intdigest(t.encode(), 42) for t in words((text or "").lower())]
+    if not hs:
+        return []
+    k = min(k, len(hs))
+    now, rolls = 0, []
+    for i, h in enumerate(hs):
+        now = turn(now, 1) ^ h ^ (turn(hs[i - k], k) if i >= k else 0)
+        if i >= k - 1:
+            rolls.append(now >> 32)
+    out = []
+    for i in range(max(1, len(rolls) - w + 1)):
+        here = rolls[i : i + w]
+        best = min(here)
+        place = i + max(j for j, x in enumerate(here) if x == best)
+        if not out or out[-1][1] != place:
+            out.append((best, place))
+    return out
+
+
+def alike(a, b):
+    a, b = ({h for h, _ in x} for x in (a, b))
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
 def test_winnowing(docs, rows, nothing):
     got = winnow.edited_likeness(docs).collect()
-    assert len(got) == len(rows)
-    named = sorted((r for r in rows if r[0] not in (None, 110) and r[0] != 4), key=lambda r: -r[0])
-    by_id = {r["doc_id"]: r for r in got}
-    order = [r[0] for r in sorted((x for x in rows if x[0] is not None), key=lambda r: -r[0])]
-    texts = {r[0]: r[1] or "" for r in rows}
-    for r in named:
-        after = [x for x in order if x < r[0]]
-        if not after or after[0] in (110,):
-            continue
-        text, following = r[1] or "", texts[after[0]]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((r[1] or "").encode(), 42) >> 63)), reverse=True)
+    expected = []
+    for k, r in enumerate(order):
+        text, after = r[1] or "", order[(k + 1) % len(order)][1] or ""
         half = len(text) // 2
-        edited = text[: len(text) - half] + following[:half]
-        assert (by_id[r[0]]["n_chars"], by_id[r[0]]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-    same = collections.defaultdict(set)
-    for r in winnow.fingerprints(docs).collect():
-        same[texts.get(r["doc_id"]) if r["doc_id"] not in (None, 110) else object()].add(r["fingerprint"])
-    assert all(len(v) == 1 for v in same.values())
+        edited = text[: len(text) - half] + after[:half]
+        a, b = winnowed(text), winnowed(edited)
+        shown = [" ".join(f"{h:x}:{p}" for h, p in x) for x in (a, b)]
+        expected.append((r[0], len(text), hashlib.sha256(edited.encode()).hexdigest(), *shown, round(alike(a, b), 12), round(alike(a, winnowed(after)), 12)))
+    assert collections.Counter((*tuple(r)[:5], round(r[5], 12), round(r[6], 12)) for r in got) == collections.Counter(expected)
+    by_id = {r["doc_id"]: r for r in got}
     assert by_id[101]["fingerprint"] == "" and by_id[101]["near_edited"] == 1.0
+    assert collections.Counter(r["fingerprint"] for r in winnow.fingerprints(docs).collect()) == collections.Counter(r["fingerprint"] for r in got)
     assert winnow.edited_likeness(nothing).count() == 0
     only = docs.where("doc_id = 105")
     assert winnow.edited_likeness(only).first()["near_next"] == 1.0
 
 
+def test_next_documents_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "STRETCH_DOCS", 7)
+    rng = random.Random(9)
+    rows = [(i * i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 40)))) for i in range(100)]
+    got = {r["doc_id"]: r["edited_sha256"] for r in winnow.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    for (_, after), (doc_id, text) in zip(rows[-1:] + rows[:-1], rows):
+        half = len(text) // 2
+        assert got[doc_id] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+
+
 def test_winnowing_keeps_its_guarantee(spark):
     rng = np.random.default_rng(3)
     text = [str(x) for x in rng.integers(0, 6, 300)]
