@@ -75,12 +75,19 @@ def step(p: Params, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return h + z * (n - h), z, r, n
 
 
-def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    np.subtract(z, top[:, None], out=z)
-    picked = z[np.arange(len(z)), at]
+def exponentials(z: np.ndarray) -> np.ndarray:
+    """Replaces z by its exponentials, up to a factor for each row, and returns their sums. Rows are only brought down to
+    their maximum where some number is out of the range that float32 has exponentials of."""
+    if z.size and not -60.0 < z.min() <= z.max() < 60.0:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    return picked - np.log(z.sum(axis=1))
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    rows = np.arange(len(z))
+    total = exponentials(z)
+    return np.log(np.maximum(z[rows, at], 1e-30) / total)
 
 
 def log_probabilities(p: Params, h: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -146,9 +153,8 @@ def window_gradients(p: Params, x: np.ndarray, y: np.ndarray, h: np.ndarray) ->
     rows = np.arange(len(flat))
 
     def soft(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        total = exponentials(z)
+        z *= (1 / total)[:, None]
         i = rows[: len(z)]
         loss = -float(np.log(np.maximum(z[i, at], 1e-30)).sum())
         z[i, at] -= 1

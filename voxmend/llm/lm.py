@@ -39,49 +39,59 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[Layout, np.ndarray, np.ndarray]:
-    """Layout, hash and tail class of the words of texts laid end to end in lower case. The tail class is by the last two
-    bytes before one closing punctuation mark."""
+#: Bits of a word's key that say its tail class; the others are its hash.
+_TAIL = gru.TAIL_CLASSES - 1
+#: Words that a task counts at once, and distinct ones that it holds before it passes them on.
+COUNTED, HELD = 1 << 20, 1 << 18
+
+
+def words(data: np.ndarray, off: np.ndarray) -> tuple[Layout, np.ndarray]:
+    """Layout and keys of the words of texts laid end to end in lower case: a hash, its lowest bits replaced by the word's
+    tail class, which is by the last two bytes before one closing punctuation mark."""
     at = Layout(data, off)
     hashes = at.span(at.prefix(), at.start, at.end).view(np.int64)
     last = at.end - 1
-    last = np.where((last > at.start) & _PUNCTUATION[data[np.maximum(last, 0)]] if len(last) else last > at.start, last - 1, last)
+    if len(last):
+        last = last - ((last > at.start) & _PUNCTUATION[data[last]])
     two = data[last].astype(np.int64) * 257 + np.where(last > at.start, data[np.maximum(last - 1, 0)], 0)
-    return at, hashes, two * 40503 % 65537 % gru.TAIL_CLASSES
+    return at, (hashes & ~np.int64(_TAIL)) | (two * 40503 % 65537 & _TAIL)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """hash, tail, count of every distinct word in the texts of docs; each task adds up what it can before the shuffle."""
+    """hash (a word's key), count of every distinct word in the texts of docs; each task adds up what it can before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def merged() -> tuple[np.ndarray, ...]:
-            h, t, c = (np.concatenate(x) for x in zip(*kept))
-            order = np.argsort(h, kind="stable")
-            h, t, c = h[order], t[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-            return h[first], t[first], np.add.reduceat(c, first) if len(h) else c
-
-        def batch_of(x: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1].astype(np.int32)), pa.array(x[2])], ["hash", "tail", "n"])
+        fresh: list[np.ndarray] = []
+        keys, n, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+        def add_up() -> None:
+            nonlocal keys, n, fresh, size
+            found = np.sort(np.concatenate([*fresh, np.zeros(0, np.int64)]))
+            heads = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(found)])
+            more = np.diff(np.append(heads, len(found)))
+            found, fresh, size = np.concatenate([keys, found[heads]]), [], 0
+            more = np.concatenate([n, more])
+            order = np.argsort(found)
+            found, more = found[order], more[order]
+            heads = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])[: len(found)])
+            keys, n = found[heads], np.add.reduceat(more, heads) if len(heads) else more
+
+        def passed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["hash", "n"])
 
         for batch in batches:
             for _, _, data, off in chunks(batch.column("text")):
-                _, h, t = words(LOWER[data], off)
-                kept.append((h, t, np.ones(len(h), np.int64)))
-                size += len(h)
-                if size > 2_000_000:
-                    kept = [merged()]
-                    size = len(kept[0][0])
-                    if size > 1_000_000:
-                        yield batch_of(kept[0])
-                        kept, size = [], 0
-        if kept:
-            yield batch_of(merged())
+                fresh.append(words(LOWER[data], off)[1])
+                size += len(fresh[-1])
+                if size >= COUNTED:
+                    add_up()
+                    if len(keys) >= HELD:
+                        yield passed_on()
+                        keys, n = keys[:0], n[:0]
+        add_up()
+        yield passed_on()
 
-    return docs.select("text").mapInArrow(run, "hash long, tail int, n long").groupBy("hash").agg(F.first("tail").alias("tail"), F.sum("n").alias("count"))
+    return docs.select("text").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("count"))
 
 
 class Vocabulary:
@@ -97,18 +107,30 @@ class Vocabulary:
         self.tail_log = np.log10(tail_mass + tail_words + 1.0)
         self.log_count = np.log10(counts + 1.0)
 
+        # Where the held words start whose hashes have the same first bits: a word is looked for among those few.
+        self.bits = max(1, len(hashes).bit_length() + 1)
+        self.first = np.searchsorted((hashes >> (64 - self.bits)) + (1 << (self.bits - 1)), np.arange((1 << self.bits) + 1)).astype(np.int32)
+
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, whether held) of each hash."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        row = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return row, self.hashes[row] == hashes
-
-    def symbols(self, at: Layout, hashes: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        slot = (hashes >> (64 - self.bits)) + (1 << (self.bits - 1))
+        row, stop = self.first[slot], self.first[slot + 1]
+        row = np.minimum(row, len(self.hashes) - 1)
+        held = self.hashes[row] == hashes
+        open_ = np.flatnonzero(~held & (row + 1 < stop))
+        while len(open_):
+            row[open_] += 1
+            held[open_] = self.hashes[row[open_]] == hashes[open_]
+            open_ = open_[~held[open_] & (row[open_] + 1 < stop[open_])]
+        return row, held
+
+    def symbols(self, at: Layout, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of the texts with END after each, their offsets; and row, held, symbol of each word."""
-        row, held = self.find(hashes)
+        row, held = self.find(keys)
         symbol = np.where(held, self.symbol[row] if len(self.symbol) else -1, -1)
-        symbol = np.where(symbol >= 0, symbol, gru.HEAD + tail)
+        symbol = np.where(symbol >= 0, symbol, gru.HEAD + (keys & _TAIL))
         off = np.concatenate([[0], np.cumsum(at.n_words + 1)])
         out = np.full(off[-1], gru.END, np.int64)
         out[np.arange(len(symbol)) + at.doc] = symbol
@@ -116,7 +138,7 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int, known: int = KNOWN_WORDS) -> Vocabulary:
-    """From counts (hash, tail, count): about the known most frequent words and sums come to the driver, nothing that grows.
+    """From counts (hash, count): about the known most frequent words and sums come to the driver, nothing that grows.
 
     How many words have counts of each size (COUNT_STEPS sizes to a doubling) says from which size on words are taken;
     of that size itself, those low in a hash.
@@ -129,12 +151,13 @@ def vocabulary(counts: DataFrame, ends: int, known: int = KNOWN_WORDS) -> Vocabu
         least, share = r["size"], min(1.0, (known - above) / r["n"])
         above += r["n"]
     low = F.shiftrightunsigned(F.xxhash64("hash"), 11).cast("double") / float(1 << 53)
-    top = sized.where((F.col("size") > least) | ((F.col("size") == least) & (low < share))).select("hash", "tail", "count").toPandas()
+    top = sized.where((F.col("size") > least) | ((F.col("size") == least) & (low < share))).select("hash", "count").toPandas()
+    top["tail"] = top["hash"] & _TAIL
     top = top.sort_values(["count", "hash"], ascending=[False, True], kind="stable")
     frequent = top.head(gru.HEAD - 1)
     mass, distinct = (np.zeros(gru.TAIL_CLASSES) for _ in range(2))
     n = v = 0
-    for r in counts.groupBy("tail").agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
+    for r in counts.groupBy(F.col("hash").bitwiseAND(F.lit(_TAIL)).alias("tail")).agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
         mass[r["tail"]], distinct[r["tail"]] = r["n"], r["v"]
         n, v = n + r["n"], v + r["v"]
     for tail, part in frequent.groupby("tail"):
@@ -155,10 +178,10 @@ def prepared(rows: DataFrame, found: Vocabulary) -> DataFrame:
         part, nth, v = TaskContext.get().partitionId(), 0, vocab()
         for batch in batches:
             for first, last, data, off in chunks(batch.column("text")):
-                at, hashes, tail = words(LOWER[data], off)
-                symbols, places, where, held, symbol = v.symbols(at, hashes, tail)
+                at, hashes = words(LOWER[data], off)
+                symbols, places, where, held, symbol = v.symbols(at, hashes)
                 counted = np.where(held, v.log_count[where] if len(v.log_count) else 0.0, 0.0)
-                inside = at.per_text_words(np.where(symbol >= gru.HEAD, counted - v.tail_log[tail], 0.0))
+                inside = at.per_text_words(np.where(symbol >= gru.HEAD, counted - v.tail_log[hashes & _TAIL], 0.0))
                 base = at.per_text_words(counted) + math.log10(v.ends + 1.0)
                 n = last - first
                 rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(at.per_text_words(~held))]).astype(np.int32)), pa.array(hashes[~held]))
