@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,6 +22,10 @@ SEED = 42
 #: A fingerprint is cut into so many blocks; two that differ in at most MAX_BITS bits agree in BLOCKS - MAX_BITS of them.
 BLOCKS = 7
 PIVOTS = 64
+#: About so many members of a key are compared with each other in one task; a key with more is cut into chunks that meet in pairs.
+KEY_MEMBERS = 1 << 14
+#: One of so many members is looked at to tell which keys have more.
+_LOOKED_AT = 16
 
 
 def shingle_hashes(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,16 +52,15 @@ def shingle_hashes(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarra
     return h, at.doc[here]
 
 
-def fingerprints_of(data: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
-    """The SimHash (uint64) of each of the texts laid end to end, data already in lower case."""
-    out = np.zeros(len(off) - 1, np.uint64)
-    h, doc = shingle_hashes(data, off, n)
+def majorities(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts the 64 bits (uint64) that are set in more than half of its hashes; doc, rising, says whose a hash is."""
+    out = np.zeros(n, np.uint64)
     if not len(h):
         return out
     heads = np.flatnonzero(np.diff(doc, prepend=-1))
     counts = np.diff(np.append(heads, len(doc)))
     ones = np.zeros((len(heads), 64), np.int64)
-    step = 1 << 16  # bits are spread out for so many shingles at a time
+    step = 1 << 16  # bits are spread out for so many hashes at a time
     for a in range(0, len(h), step):
         b = min(len(h), a + step)
         bits = np.unpackbits(h[a:b].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -70,6 +72,11 @@ def fingerprints_of(data: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def fingerprints_of(data: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
+    """The SimHash (uint64) of each of the texts laid end to end, data already in lower case."""
+    return majorities(*shingle_hashes(data, off, n), len(off) - 1)
+
+
 def simhash(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id long, fingerprint long (the 64 bits, signed) of every row of docs (doc_id, text); one scan, no shuffle.
 
@@ -94,15 +101,15 @@ def pivots(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, n, dtype=np.uint64)
 
 
-def forest(values: np.ndarray, max_bits: int, reference: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(child, parent) edges of a spanning forest of the graph that links values max_bits apart or less.
+def forest(values: np.ndarray, max_bits: int, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(child, parent) edges of a spanning forest of the graph that links values (rows of uint64) max_bits apart or less.
 
-    Each value's Hamming distances to the reference values are computed once. A pair whose distances differ by more
-    than max_bits in any coordinate can't be linked (triangle inequality), so only the other pairs are verified. A value
-    that is in a tree is not compared again: a dense group costs a few passes over it, not all its pairs.
+    table: the values' Hamming distances to reference values, computed once. A pair whose distances differ by more than
+    max_bits in any coordinate can't be linked (triangle inequality), so only the other pairs are verified. A value that
+    is in a tree is not compared again: a dense group costs a few passes over it, not all its pairs.
     """
+    values = values.reshape(len(values), -1)
     left = np.arange(len(values))
-    table = np.bitwise_count(values[:, None] ^ reference[None, :]).astype(np.int8)
     child, parent = [], []
     while len(left):
         seed, left = left[0], left[1:]
@@ -110,11 +117,12 @@ def forest(values: np.ndarray, max_bits: int, reference: np.ndarray) -> tuple[np
         while queue and len(left):
             v = queue.pop()
             close = left
-            for a in range(0, table.shape[1], 8):  # a few coordinates leave few of the pairs
-                close = close[(np.abs(table[close, a : a + 8] - table[v, a : a + 8]) <= max_bits).all(axis=1)]
-                if len(close) < 64:
-                    break
-            close = close[np.bitwise_count(values[close] ^ values[v]) <= max_bits]
+            if table is not None:
+                for a in range(0, table.shape[1], 8):  # a few coordinates leave few of the pairs
+                    close = close[(np.abs(table[close, a : a + 8] - table[v, a : a + 8]) <= max_bits).all(axis=1)]
+                    if len(close) < 64:
+                        break
+            close = close[apart(values[close], values[v]) <= max_bits]
             if len(close):
                 child.append(close)
                 parent.append(np.full(len(close), v))
@@ -125,6 +133,34 @@ def forest(values: np.ndarray, max_bits: int, reference: np.ndarray) -> tuple[np
     return np.concatenate(child), np.concatenate(parent)
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of uint64."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def distances(values: np.ndarray, reference: np.ndarray) -> np.ndarray:
+    """The pivot table: each value's Hamming distance to each reference value."""
+    return np.bitwise_count(values[:, None] ^ reference[None, :]).astype(np.int8)
+
+
+def meetings(prints: DataFrame, keyed: Callable[[DataFrame], DataFrame], most: int = KEY_MEMBERS) -> DataFrame:
+    """members (array of structs of the columns of prints) of every key that two or more of prints have, dealt out so that no
+    group is much larger than 2 * most and every two prints with a key in common are in a group together. keyed gives the
+    rows (key, and columns of prints) of all keys of prints.
+
+    Keys with more than about most members, told by every _LOOKED_AT-th print by hash, are cut into chunks by hash; each
+    two chunks, and each with itself, are a group. Any cut gives the same pairs, so what the look misses costs no link.
+    """
+    names = prints.columns
+    some = keyed(prints.where(F.pmod(F.xxhash64(*names), F.lit(_LOOKED_AT)) == 0)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * _LOOKED_AT > most)
+    hot = written(some.select(F.col("key").alias("hot"), F.ceil(F.col("n") * _LOOKED_AT / F.lit(most)).cast("int").alias("chunks")), "hot-keys")
+    marked = keyed(prints).join(hot, F.col("key") == F.col("hot"), "left")
+    mine = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(mine, j) * F.col("chunks") + F.greatest(mine, j))
+    dealt = marked.select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(pairs)).alias("pair"), *names)
+    return dealt.groupBy("key", "pair").agg(F.collect_list(F.struct(*names)).alias("members")).where(F.size("members") > 1).select("members")
+
+
 def block_masks(blocks: int, kept: int) -> list[int]:
     """The bit masks of all choices of kept out of blocks nearly equal blocks of 64 bits."""
     edge = [round(64 * i / blocks) for i in range(blocks + 1)]
@@ -138,29 +174,30 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, n_p
 
     Two fingerprints max_bits apart agree in all bits of at least blocks - max_bits of the blocks, so they meet under
     one of the keys made of so many blocks (35 keys of about 27 bits by default, so that unlike fingerprints seldom
-    meet). Each key's values go through forest(), which returns at most one edge a value: a group of thousands of near
-    copies yields thousands of edges, not millions of pairs.
+    meet). Each key's values (see meetings) go through forest(), where the pivot table discards pairs and the rest are
+    verified; it returns at most one edge a value: a group of thousands of near copies yields thousands of edges, not
+    millions of pairs.
     """
     reference = pivots(n_pivots)
     masks = block_masks(blocks, blocks - max_bits)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*(F.struct(F.lit(i).alias("k"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(signed)))
-    met = prints.select("fingerprint", F.explode(keys).alias("key")).select(F.xxhash64("key.k", "key.v").alias("key"), "fingerprint")
-    # Keys of one value only are most of them; they are dropped before anything goes to Python.
-    busy = met.groupBy("key").agg(F.collect_list("fingerprint").alias("members")).where(F.size("members") > 1)
+
+    def keyed(some: DataFrame) -> DataFrame:
+        return some.select("fingerprint", F.explode(keys).alias("key")).select(F.xxhash64("key.k", "key.v").alias("key"), "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found_a, found_b = [], []
             for i in range(batch.num_rows):
-                values = np.unique(batch.column(0)[i].values.to_numpy().view(np.uint64))
-                child, parent = forest(values, max_bits, reference)
+                values = np.unique(batch.column(0)[i].values.field("fingerprint").to_numpy().view(np.uint64))
+                child, parent = forest(values, max_bits, distances(values, reference))
                 found_a.append(values[child].view(np.int64))
                 found_b.append(values[parent].view(np.int64))
             if found_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
 
-    return busy.select("members").mapInArrow(run, "a long, b long").distinct()
+    return meetings(prints.select("fingerprint"), keyed).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -184,13 +221,3 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bit
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of = named.join(smallest, "label").select("fingerprint", "component_id")
     return prints.join(of, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with their columns, that are the smallest doc_id of their component; of rows that share that doc_id one stays.
-
-    Rows with a null doc_id are kept as they are: they name no document.
-    """
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["kept_doc_id"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
