@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
-from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,30 +24,23 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f: Query) -> Query:
-    """Registers a query, and its oracle if there is one of that name. The oracles hold records of at most 24 characters; a
-    query that can take whole texts is registered as whole_NAME too, without an oracle."""
+    """Registers a query, and its oracle if there is one of that name."""
     QUERIES[f.__name__] = f
-    if "whole" in signature(f).parameters:
-        QUERIES[f"whole_{f.__name__}"] = partial(f, whole=True)
     if f.__name__ in oracles.SQL:
         ORACLES[f.__name__] = oracles.SQL[f.__name__]
     return f
 
 
-def training(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return records.training_records(raw_records(spark, sf_dir, whole), norm=COMPOSED)
+def training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.training_records(raw_records(spark, sf_dir), norm=COMPOSED)
 
 
-def corrected(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return records.rule_correct(training(spark, sf_dir, whole), norm=COMPOSED)
+def corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.rule_correct(training(spark, sf_dir), norm=COMPOSED)
 
 
-def evidence(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return with_evidence(training(spark, sf_dir, whole), COMPOSED)
-
-
-def number(text: str = "id") -> Column:
-    return F.col(text).cast("bigint").alias("doc_id")
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_evidence(training(spark, sf_dir), COMPOSED)
 
 
 def shown_edits(edits: Column) -> Column:
@@ -62,16 +53,16 @@ def normalize_text(spark, sf_dir):
 
 
 @query
-def edit_distance_pairs(spark, sf_dir, whole=False):
-    ev = evidence(spark, sf_dir, whole).select("id", "ev.reference_n", F.posexplode("ev.nbest_n").alias("i", "h"))
-    return ev.select(number(), F.col("i").cast("bigint").alias("idx"), edit_distance(F.col("h"), F.col("reference_n")).alias("distance"))
+def edit_distance_pairs(spark, sf_dir):
+    ev = evidence(spark, sf_dir).select("id", "ev.reference_n", F.posexplode("ev.nbest_n").alias("i", "h"))
+    return ev.select("id", F.col("i").cast("bigint").alias("idx"), edit_distance(F.col("h"), F.col("reference_n")).alias("distance"))
 
 
 @query
-def cer_per_record(spark, sf_dir, whole=False):
-    ev = evidence(spark, sf_dir, whole).select("id", "ev.reference_n", "ev.top1_n")
+def cer_per_record(spark, sf_dir):
+    ev = evidence(spark, sf_dir).select("id", "ev.reference_n", "ev.top1_n")
     ev = ev.withColumn("d", edit_distance(F.col("top1_n"), F.col("reference_n")))
-    return ev.select(number(), F.col("d").alias("distance"), F.length("reference_n").cast("bigint").alias("reference_chars"), F.round(error_rate(F.col("d"), F.col("reference_n"), F.col("top1_n")), 9).alias("cer"))
+    return ev.select("id", F.col("d").alias("distance"), F.length("reference_n").cast("bigint").alias("reference_chars"), F.round(error_rate(F.col("d"), F.col("reference_n"), F.col("top1_n")), 9).alias("cer"))
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -79,111 +70,111 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 @query
-def corpus_cer(spark, sf_dir, whole=False):
-    return rounded(reports.evaluate(corrected(spark, sf_dir, whole), norm=COMPOSED), "cer", "baseline_cer")
+def corpus_cer(spark, sf_dir):
+    return rounded(reports.evaluate(corrected(spark, sf_dir), norm=COMPOSED), "cer", "baseline_cer")
 
 
 @query
-def corpus_cer_by_source(spark, sf_dir, whole=False):
-    return rounded(reports.evaluate(corrected(spark, sf_dir, whole), norm=COMPOSED, by=["source"]), "cer", "baseline_cer")
+def corpus_cer_by_source(spark, sf_dir):
+    return rounded(reports.evaluate(corrected(spark, sf_dir), norm=COMPOSED, by=["source"]), "cer", "baseline_cer")
 
 
 @query
-def oracle_nbest(spark, sf_dir, whole=False):
-    best = evidence(spark, sf_dir, whole).select("id", baselines.oracle(F.col("ev")).alias("o"))
-    return best.select(number(), F.col("o.text").alias("text"), F.col("o.index").alias("idx"), F.col("o.distance").alias("distance"))
+def oracle_nbest(spark, sf_dir):
+    best = evidence(spark, sf_dir).select("id", baselines.oracle(F.col("ev")).alias("o"))
+    return best.select("id", F.col("o.text").alias("text"), F.col("o.index").alias("idx"), F.col("o.distance").alias("distance"))
 
 
 @query
-def oracle_topk(spark, sf_dir, whole=False):
-    best = evidence(spark, sf_dir, whole).select("id", baselines.oracle(F.col("ev"), 2).alias("o"))
-    return best.select(number(), F.col("o.text").alias("text"), F.col("o.index").alias("idx"), F.col("o.distance").alias("distance"))
+def oracle_topk(spark, sf_dir):
+    best = evidence(spark, sf_dir).select("id", baselines.oracle(F.col("ev"), 2).alias("o"))
+    return best.select("id", F.col("o.text").alias("text"), F.col("o.index").alias("idx"), F.col("o.distance").alias("distance"))
 
 
 @query
-def baseline_predictions(spark, sf_dir, whole=False):
-    done = baselines.with_baselines(training(spark, sf_dir, whole), norm=COMPOSED)
-    return done.select(number(), F.col("baseline_predictions.no_correction.prediction").alias("top1"), F.col("baseline_predictions.oracle_nbest.prediction").alias("best"), F.col("baseline_predictions.oracle_nbest.index").alias("idx"))
+def baseline_predictions(spark, sf_dir):
+    done = baselines.with_baselines(training(spark, sf_dir), norm=COMPOSED)
+    return done.select("id", F.col("baseline_predictions.no_correction.prediction").alias("top1"), F.col("baseline_predictions.oracle_nbest.prediction").alias("best"), F.col("baseline_predictions.oracle_nbest.index").alias("idx"))
 
 
 @query
-def baseline_report(spark, sf_dir, whole=False):
-    return rounded(baselines.report(training(spark, sf_dir, whole), norm=COMPOSED), "top1_cer", "oracle_cer", "oracle_exact_rate")
+def baseline_report(spark, sf_dir):
+    return rounded(baselines.report(training(spark, sf_dir), norm=COMPOSED), "top1_cer", "oracle_cer", "oracle_exact_rate")
 
 
 @query
-def oracle_index_counts(spark, sf_dir, whole=False):
-    return baselines.index_counts(training(spark, sf_dir, whole), norm=COMPOSED)
+def oracle_index_counts(spark, sf_dir):
+    return baselines.index_counts(training(spark, sf_dir), norm=COMPOSED)
 
 
 @query
-def candidate_support(spark, sf_dir, whole=False):
-    ev = evidence(spark, sf_dir, whole).select("id", F.posexplode(rules.support_counts(F.col("ev.nbest_n"))).alias("i", "n"))
-    return ev.select(number(), F.col("i").cast("bigint").alias("idx"), F.col("n").cast("bigint").alias("support"))
+def candidate_support(spark, sf_dir):
+    ev = evidence(spark, sf_dir).select("id", F.posexplode(rules.support_counts(F.col("ev.nbest_n"))).alias("i", "n"))
+    return ev.select("id", F.col("i").cast("bigint").alias("idx"), F.col("n").cast("bigint").alias("support"))
 
 
 @query
-def rule_candidate(spark, sf_dir, whole=False):
-    return evidence(spark, sf_dir, whole).select(number(), rules.rule_candidate(F.col("ev")).alias("candidate"))
+def rule_candidate(spark, sf_dir):
+    return evidence(spark, sf_dir).select("id", rules.rule_candidate(F.col("ev")).alias("candidate"))
 
 
 @query
-def rule_edits(spark, sf_dir, whole=False):
-    return corrected(spark, sf_dir, whole).select(number(), shown_edits(F.col("predicted_edits.edits")).alias("edits"))
+def rule_edits(spark, sf_dir):
+    return corrected(spark, sf_dir).select("id", shown_edits(F.col("predicted_edits.edits")).alias("edits"))
 
 
 @query
-def rule_corrected(spark, sf_dir, whole=False):
-    return corrected(spark, sf_dir, whole).select(number(), F.col("correction_result.accepted").alias("accepted"), "prediction", F.array_join("correction_result.reasons", "|").alias("reasons"))
+def rule_corrected(spark, sf_dir):
+    return corrected(spark, sf_dir).select("id", F.col("correction_result.accepted").alias("accepted"), "prediction", F.array_join("correction_result.reasons", "|").alias("reasons"))
 
 
 @query
-def minimal_edit(spark, sf_dir, whole=False):
-    ev = evidence(spark, sf_dir, whole).select("id", E.minimal_edits(F.col("ev.top1_n"), F.col("ev.reference_n")).alias("e"))
-    return ev.select(number(), shown_edits(F.col("e")).alias("edits"))
+def minimal_edit(spark, sf_dir):
+    ev = evidence(spark, sf_dir).select("id", E.minimal_edits(F.col("ev.top1_n"), F.col("ev.reference_n")).alias("e"))
+    return ev.select("id", shown_edits(F.col("e")).alias("edits"))
 
 
 @query
-def validate_edits(spark, sf_dir, whole=False):
-    ready = with_evidence(predicted_edits(spark, sf_dir, whole), COMPOSED).withColumn("e", E.clean_edits(F.col("predicted_edits.edits")))
+def validate_edits(spark, sf_dir):
+    ready = with_evidence(predicted_edits(spark, sf_dir), COMPOSED).withColumn("e", E.clean_edits(F.col("predicted_edits.edits")))
     support = E.support_texts(F.col("ev.top1_n"), F.col("ev.nbest_all_n"))
     reasons = E.check_edits(F.col("e"), F.col("ev.top1_n"), F.col("ev.nbest_all_n"), support, norm=COMPOSED)
-    return ready.withColumn("r", reasons).select(number(), (F.size("r") == 0).alias("ok"), F.array_join("r", "|").alias("reasons"))
+    return ready.withColumn("r", reasons).select("id", (F.size("r") == 0).alias("ok"), F.array_join("r", "|").alias("reasons"))
 
 
 @query
-def apply_edits(spark, sf_dir, whole=False):
-    ready = predicted_edits(spark, sf_dir, whole).withColumn("d", E.apply_edits(F.col("input.asr_top1"), E.clean_edits(F.col("predicted_edits.edits"))))
-    return ready.select(number(), F.col("d.text").alias("text"), F.size("d.applied").cast("bigint").alias("applied"), F.array_join("d.rejected", "|").alias("rejected"))
+def apply_edits(spark, sf_dir):
+    ready = predicted_edits(spark, sf_dir).withColumn("d", E.apply_edits(F.col("input.asr_top1"), E.clean_edits(F.col("predicted_edits.edits"))))
+    return ready.select("id", F.col("d.text").alias("text"), F.size("d.applied").cast("bigint").alias("applied"), F.array_join("d.rejected", "|").alias("rejected"))
 
 
 @query
-def safe_apply(spark, sf_dir, whole=False):
-    done = records.apply_edits(predicted_edits(spark, sf_dir, whole), norm=COMPOSED)
+def safe_apply(spark, sf_dir):
+    done = records.apply_edits(predicted_edits(spark, sf_dir), norm=COMPOSED)
     r = F.col("correction_result")
-    return done.select(number(), r["accepted"].alias("accepted"), F.col("prediction"), F.array_join(r["reasons"], "|").alias("reasons"), F.size(r["applied_edits"]).cast("bigint").alias("applied"))
+    return done.select("id", r["accepted"].alias("accepted"), F.col("prediction"), F.array_join(r["reasons"], "|").alias("reasons"), F.size(r["applied_edits"]).cast("bigint").alias("applied"))
 
 
 @query
-def sft_records(spark, sf_dir, whole=False):
-    made = training(spark, sf_dir, whole)
-    return made.select(number(), "source", "split", "task", "instruction", F.col("input.asr_top1").alias("asr_top1"), F.array_join("input.nbest", "|").alias("nbest"), F.array_join("input.nbest_pinyin", "|").alias("pinyin"), shown_edits(F.col("output.edits")).alias("edits"), "reference")
+def sft_records(spark, sf_dir):
+    made = training(spark, sf_dir)
+    return made.select("id", "source", "split", "task", "instruction", F.col("input.asr_top1").alias("asr_top1"), F.array_join("input.nbest", "|").alias("nbest"), F.array_join("input.nbest_pinyin", "|").alias("pinyin"), shown_edits(F.col("output.edits")).alias("edits"), "reference")
 
 
 @query
-def filter_reasons(spark, sf_dir, whole=False):
-    return filters.reason_counts(training(spark, sf_dir, whole), norm=COMPOSED)
+def filter_reasons(spark, sf_dir):
+    return filters.reason_counts(training(spark, sf_dir), norm=COMPOSED)
 
 
 @query
-def filter_strict(spark, sf_dir, whole=False):
-    strict = filters.with_reason(training(spark, sf_dir, whole), max_changed=2, drop_empty_edits=True, require_verifier_pass=True, norm=COMPOSED)
-    return strict.select(number(), "filter_reason")
+def filter_strict(spark, sf_dir):
+    strict = filters.with_reason(training(spark, sf_dir), max_changed=2, drop_empty_edits=True, require_verifier_pass=True, norm=COMPOSED)
+    return strict.select("id", "filter_reason")
 
 
 @query
-def filter_kept(spark, sf_dir, whole=False):
-    return filters.kept(training(spark, sf_dir, whole), norm=COMPOSED).select(number(), "reference")
+def filter_kept(spark, sf_dir):
+    return filters.kept(training(spark, sf_dir), norm=COMPOSED).select("id", "reference")
 
 
 @query
@@ -205,60 +196,59 @@ STATS = ("empty_edit_rate", "avg_nbest_size", "avg_reference_chars", "avg_asr_ch
 
 
 @query
-def dataset_stats(spark, sf_dir, whole=False):
-    return rounded(reports.dataset_stats(training(spark, sf_dir, whole), norm=COMPOSED), *STATS)
+def dataset_stats(spark, sf_dir):
+    return rounded(reports.dataset_stats(training(spark, sf_dir), norm=COMPOSED), *STATS)
 
 
 @query
-def cer_percentiles(spark, sf_dir, whole=False):
-    rows = reports.dataset_rows(training(spark, sf_dir, whole), norm=COMPOSED)
+def cer_percentiles(spark, sf_dir):
+    rows = reports.dataset_rows(training(spark, sf_dir), norm=COMPOSED)
     return rounded(reports.nearest_rank(rows, "baseline_cer", (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)), "value")
 
 
 @query
-def analysis_status(spark, sf_dir, whole=False):
-    return reports.status_counts(reports.analyzed(records.apply_edits(predicted_edits(spark, sf_dir, whole), norm=COMPOSED), COMPOSED))
+def analysis_status(spark, sf_dir):
+    return reports.status_counts(reports.analyzed(records.apply_edits(predicted_edits(spark, sf_dir), norm=COMPOSED), COMPOSED))
 
 
 @query
-def analysis_topk(spark, sf_dir, whole=False):
-    rows = reports.analyzed(records.apply_edits(predicted_edits(spark, sf_dir, whole), norm=COMPOSED), COMPOSED)
-    top = reports.top_changes(rows.withColumn("doc_id", F.col("id").cast("bigint")), 20, "doc_id")
-    return top.select("status", F.col("rank").cast("bigint").alias("rank"), "doc_id", "delta_edits")
+def analysis_topk(spark, sf_dir):
+    rows = reports.analyzed(records.apply_edits(predicted_edits(spark, sf_dir), norm=COMPOSED), COMPOSED)
+    return reports.top_changes(rows, 20, "id").select("status", F.col("rank").cast("bigint").alias("rank"), "id", "delta_edits")
 
 
 @query
-def reason_counts(spark, sf_dir, whole=False):
-    rows = reports.analyzed(records.apply_edits(predicted_edits(spark, sf_dir, whole), norm=COMPOSED), COMPOSED)
-    return reports.reason_counts(rows.withColumn("doc_id", F.col("id").cast("bigint")), "doc_id")
+def reason_counts(spark, sf_dir):
+    rows = reports.analyzed(records.apply_edits(predicted_edits(spark, sf_dir), norm=COMPOSED), COMPOSED)
+    return reports.reason_counts(rows, "id")
 
 
 @query
-def correction_rates(spark, sf_dir, whole=False):
-    done = records.apply_edits(predicted_edits(spark, sf_dir, whole), norm=COMPOSED)
+def correction_rates(spark, sf_dir):
+    done = records.apply_edits(predicted_edits(spark, sf_dir), norm=COMPOSED)
     return rounded(reports.correction_rates(done, COMPOSED), "acceptance_rate", "fallback_rate")
 
 
 @query
-def input_block(spark, sf_dir, whole=False):
-    made = training(spark, sf_dir, whole)
-    return made.select(number(), exports.block_of(made).alias("block"))
+def input_block(spark, sf_dir):
+    made = training(spark, sf_dir)
+    return made.select("id", exports.block_of(made).alias("block"))
 
 
 @query
-def chat_export(spark, sf_dir, whole=False):
-    chat = exports.to_chat(training(spark, sf_dir, whole))
-    return chat.select(number(), *(F.col("messages")[k]["content"].alias(name) for k, name in enumerate(("told", "asked", "answered"))))
+def chat_export(spark, sf_dir):
+    chat = exports.to_chat(training(spark, sf_dir))
+    return chat.select("id", *(F.col("messages")[k]["content"].alias(name) for k, name in enumerate(("told", "asked", "answered"))))
 
 
 @query
-def prompt_export(spark, sf_dir, whole=False):
-    return exports.to_prompt(training(spark, sf_dir, whole))
+def prompt_export(spark, sf_dir):
+    return exports.to_prompt(training(spark, sf_dir))
 
 
 @query
-def query_response_export(spark, sf_dir, whole=False):
-    return exports.to_query(training(spark, sf_dir, whole))
+def query_response_export(spark, sf_dir):
+    return exports.to_query(training(spark, sf_dir))
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,20 +269,19 @@ def infer_messages(spark, sf_dir):
 
 
 @query
-def training_texts(spark, sf_dir, whole=False):
-    # Its SQL reads 512 characters; the production cap is the operator's default.
-    return exports.training_texts(chats(spark, sf_dir), **({} if whole else {"max_length": 64}))
+def training_texts(spark, sf_dir):
+    return exports.training_texts(chats(spark, sf_dir))
 
 
 @query
-def teacher_dry_run(spark, sf_dir, whole=False):
-    done = records.teacher_replies(training(spark, sf_dir, whole))
-    return done.select(number(), "model_output", F.size("predicted_edits.edits").cast("bigint").alias("edits"), F.size("parse_warnings").cast("bigint").alias("warnings"))
+def teacher_dry_run(spark, sf_dir):
+    done = records.teacher_replies(training(spark, sf_dir))
+    return done.select("id", "model_output", F.size("predicted_edits.edits").cast("bigint").alias("edits"), F.size("parse_warnings").cast("bigint").alias("warnings"))
 
 
 @query
-def parse_model_output(spark, sf_dir, whole=False):
-    parsed = replies(spark, sf_dir, whole).withColumn("p", parse_model_edits(F.col("model_output")))
+def parse_model_output(spark, sf_dir):
+    parsed = replies(spark, sf_dir).withColumn("p", parse_model_edits(F.col("model_output")))
     return parsed.select("doc_id", shown_edits(F.col("p.edits")).alias("edits"), F.array_join("p.parse_warnings", "|").alias("warnings"))
 
 

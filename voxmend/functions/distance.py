@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxmend.functions.text import characters
+from voxmend.functions.text import common_start
 
 #: Up to so many code points texts are compared as they are.
 SHORT = 64
@@ -14,26 +16,42 @@ SHORT = 64
 def edit_distance(left: Column, right: Column) -> Column:
     """Levenshtein distance in code points, unit costs. What two long texts share at their start and end is taken off first, which
     leaves the distance as it is: texts that differ in one place cost their length, not its square."""
-    short = F.greatest(F.length(left), F.length(right)) <= SHORT
-    pair = F.struct(left.alias("l"), right.alias("r"))
-    rest = F.get(F.transform(F.array(pair), lambda v: F.struct(_without_start(v["l"], v["r"]).alias("v"))), 0)["v"]
-    turned = F.get(F.transform(F.array(rest), lambda v: _without_start(F.reverse(v["l"]), F.reverse(v["r"]))), 0)
-    long = F.get(F.transform(F.array(turned), lambda v: F.levenshtein(v["l"], v["r"])), 0)
-    return F.when(left == right, F.lit(0)).when(short, F.levenshtein(left, right)).otherwise(long).cast("bigint")
+    return F.when(left == right, F.lit(0)).when(_short(left, right), F.levenshtein(left, right)).otherwise(_differing(left, right, lambda v: F.levenshtein(v["l"], v["r"]))).cast("bigint")
+
+
+def _short(left: Column, right: Column) -> Column:
+    return F.greatest(F.length(left), F.length(right)) <= SHORT
+
+
+def _differing(left: Column, right: Column, body: Callable[[Column], Column]) -> Column:
+    """body of struct<l, r>: the texts without what they share at their start and at their end."""
+    rest = F.transform(F.array(F.struct(left.alias("l"), right.alias("r"))), lambda v: _without_start(v["l"], v["r"]))
+    turned = F.transform(rest, lambda v: _without_start(F.reverse(v["l"]), F.reverse(v["r"])))
+    return F.get(F.transform(turned, body), 0)
 
 
 def _without_start(left: Column, right: Column) -> Column:
     """struct<l, r>: two texts without the code points that both begin with."""
-    same = F.zip_with(characters(left), characters(right), lambda a, b: a.eqNullSafe(b))
-    # Where one text is the other's start, zip_with's padding is the first miss.
-    miss = F.array_position(same, False).cast("int")
-    first = F.when(miss > 0, miss).otherwise(F.size(same) + 1)
-    return F.get(F.transform(F.array(first), lambda at: F.struct(F.substring(left, at, F.length(left)).alias("l"), F.substring(right, at, F.length(right)).alias("r"))), 0)
+    return F.get(F.transform(F.array(common_start(left, right) + 1), lambda at: F.struct(F.substring(left, at, F.length(left)).alias("l"), F.substring(right, at, F.length(right)).alias("r"))), 0)
 
 
 def within(left: Column, right: Column, most: int) -> Column:
-    """The distance where it is at most the bound, else -1: the work is bounded too."""
-    return F.levenshtein(left, right, most).cast("bigint")
+    """The distance where it is at most the bound, else -1: the work is bounded too.
+
+    Of long texts only what differs is compared, and only if one of most + 1 equal parts of the left one is found within
+    most places of its own in the right one, as must be where the distance is at most the bound.
+    """
+
+    def long(v: Column) -> Column:
+        size = F.ceil(F.length(v["l"]) / F.lit(float(most + 1))).cast("int")
+
+        def found(k: Column) -> Column:
+            part = F.substring(v["l"], k * size + 1, size)
+            return F.contains(F.substring(v["r"], F.greatest(k * size + 1 - most, F.lit(1)), size + 2 * most), part)
+
+        return F.when(F.abs(F.length(v["l"]) - F.length(v["r"])) > most, -1).when(F.exists(F.sequence(F.lit(0), F.lit(most)), found), F.levenshtein(v["l"], v["r"], most)).otherwise(-1)
+
+    return F.when(left == right, F.lit(0)).when(_short(left, right), F.levenshtein(left, right, most)).otherwise(_differing(left, right, long)).cast("bigint")
 
 
 def units_distance(left: Column, right: Column) -> Column:

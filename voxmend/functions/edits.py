@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from voxmend.functions.phonetic import Characters, sound_alike
-from voxmend.functions.text import EXACT, Normalizer, characters, strip, without_blanks
+from voxmend.functions.text import EXACT, Normalizer, common_start, strip, without_blanks
 
 EDIT = "struct<`from`:string,`to`:string,reason:string>"
 EDITS = f"array<{EDIT}>"
@@ -35,13 +35,6 @@ def edit(source: Column, target: Column, reason: Column | str) -> Column:
     return F.struct(source.alias("from"), target.alias("to"), (F.lit(reason) if isinstance(reason, str) else reason).alias("reason")).cast(EDIT)
 
 
-def common_start(left: Column, right: Column) -> Column:
-    """How many first code points two strings share."""
-    same = F.zip_with(characters(left), characters(right), lambda a, b: a.eqNullSafe(b))
-    miss = F.array_position(same, False)
-    return F.when(miss > 0, miss - 1).otherwise(F.size(same)).cast("int")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body refers to it."""
     return F.get(F.transform(F.array(value), body), 0)

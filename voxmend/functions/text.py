@@ -62,12 +62,19 @@ def normalize_all_composed(texts: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space, of any kind, at both ends; null counts as empty."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(text, rf"^[{SPACE_CLASS}]+", ""), rf"[{SPACE_CLASS}]+$", ""), F.lit(""))
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    bare = F.regexp_replace(F.regexp_replace(text, rf"^[{SPACE_CLASS}]+", ""), rf"[{SPACE_CLASS}]+$", "")
+    return F.when(text.isNull(), F.lit("")).when(ends.rlike(f"[{SPACE_CLASS}]"), bare).otherwise(text)
+
+
+def has_text(text: Column) -> Column:
+    """Whether a string has more than white space; null: no."""
+    return F.coalesce(text.rlike(f"[^{SPACE_CLASS}]"), F.lit(False))
 
 
 def without_blanks(texts: Column) -> Column:
     """The strings of an array that have more than white space, in order; a null array is empty."""
-    return F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: strip(t) != "")
+    return F.filter(F.coalesce(texts, F.array().cast("array<string>")), has_text)
 
 
 def characters(text: Column) -> Column:
@@ -75,6 +82,21 @@ def characters(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 
 
+def common_start(left: Column, right: Column) -> Column:
+    """How many first code points two strings share: found by halving, so that no string is taken apart."""
+
+    def shared(v: Column, bits: int) -> Column:
+        steps = F.array(*(F.lit(1 << k) for k in reversed(range(bits))))
+
+        def step(at: Column, n: Column) -> Column:
+            return F.when((at + n <= v["n"]) & (F.substring(v["l"], at + 1, n) == F.substring(v["r"], at + 1, n)), at + n).otherwise(at)
+
+        return F.aggregate(steps, F.lit(0), step)
+
+    pair = F.array(F.struct(left.alias("l"), right.alias("r"), F.least(F.length(left), F.length(right)).alias("n")))
+    return F.get(F.transform(pair, lambda v: F.when(v["n"] < 128, shared(v, 7)).otherwise(shared(v, 30))), 0)
+
+
 class Normalizer:
     """Which normal form an operator uses: exact, or composed for text known to be in NFKC."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmend.functions.text import EXACT, Normalizer, without_blanks
+from voxmend.functions.text import EXACT, Normalizer, has_text, without_blanks
 
 
 def field(df: DataFrame, path: str) -> Column | None:
@@ -87,18 +87,21 @@ def with_evidence(df: DataFrame, norm: Normalizer = EXACT, own_top1: bool = Fals
     if own_top1:
         own = given if block is not None else field(df, "asr_top1")
         given = F.lit("") if own is None else F.coalesce(own.cast("string"), F.lit(""))
-    first = computed(df, _raw=F.struct(all_nbest.alias("nbest_all"), without_blanks(all_nbest).alias("nbest")))
-    top1 = F.coalesce(F.try_element_at("_raw.nbest", F.lit(1)), F.lit(""))
+    # Each hypothesis is normalised once, blank or not.
+    pairs = F.zip_with(all_nbest, norm.many(all_nbest), lambda t, n: F.struct(t.alias("t"), n.alias("n")))
+    first = computed(df, _all=pairs)
+    first = computed(first, _some=F.filter("_all", lambda p: has_text(p["t"])))
+    top1 = F.coalesce(F.try_element_at("_some", F.lit(1))["t"], F.lit(""))
     if given is not None:
         top1 = F.coalesce(given.cast("string"), top1)
     second = first.withColumn("_top1", top1)
     ev = F.struct(
         F.col("_top1").alias("top1"),
-        F.col("_raw.nbest").alias("nbest"),
-        F.col("_raw.nbest_all").alias("nbest_all"),
+        F.col("_some.t").alias("nbest"),
+        F.col("_all.t").alias("nbest_all"),
         norm.one(text_field(df, "reference")).alias("reference_n"),
         norm.one(F.col("_top1")).alias("top1_n"),
-        norm.many(F.col("_raw.nbest")).alias("nbest_n"),
-        norm.many(F.col("_raw.nbest_all")).alias("nbest_all_n"),
+        F.col("_some.n").alias("nbest_n"),
+        F.col("_all.n").alias("nbest_all_n"),
     )
-    return computed(second, ev=ev).drop("_raw", "_top1")
+    return computed(second, ev=ev).drop("_all", "_some", "_top1")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from voxmend.functions.text import normalize_composed
 from voxmend.operators.evidence import computed
 
-REFERENCE_CHARS = 24
+#: What ends a sentence. A record is a sentence, as an utterance is.
+SENTENCE_END = "[.!?\n]+"
 #: More than any text has: to the end.
 REST = 2**31 - 1
 
@@ -17,14 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def raw_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Raw records (doc_id, dataset, split, id, reference, nbest) out of documents: reference is the start of the text in normal
-    form, empty for every 13th document, or, with whole, all of every text's normal form; hypotheses are the reference
-    with one character replaced, left out or put in, or reversed, in six arrangements."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", normalize_composed(F.col("text")).alias("norm"))
-    start = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.substring("norm", 1, REFERENCE_CHARS))
-    ref = F.coalesce("norm", F.lit("")) if whole else start
-    docs = computed(docs, reference=ref).select("doc_id", "lang", "source", "reference", (F.lit(2) + F.col("doc_id") % 7).cast("int").alias("p"))
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id (doc_id-number), turn (doc_id + number), lang, source, norm of every sentence of every document's whole text,
+    in normal form; a document without text has one empty sentence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), SENTENCE_END)).alias("nth", "sentence"))
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("nth").cast("string"))
+    return docs.select(named.alias("id"), (F.coalesce("doc_id", F.lit(0)) + F.col("nth")).alias("turn"), "lang", "source", normalize_composed(F.col("sentence")).alias("norm"))
+
+
+def turn_of(record_id: Column) -> Column:
+    """The turn of a sentence by its id."""
+    return F.coalesce(F.nullif(F.substring_index(record_id, "-", 1), F.lit("")).cast("bigint"), F.lit(0)) + F.substring_index(record_id, "-", -1).cast("bigint")
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records (dataset, split, id, reference, nbest) out of the sentences of documents: reference is the whole sentence in
+    normal form; hypotheses are the reference with one character replaced, left out or put in, or reversed, in six
+    arrangements."""
+    docs = computed(sentences(spark, sf_dir), reference=F.col("norm")).select("id", "turn", "lang", "source", "reference", (F.lit(2) + F.col("turn") % 7).cast("int").alias("p"))
     r, p = F.col("reference"), F.col("p")
 
     def part(first: Column | int, n: Column | int) -> Column:
@@ -37,22 +48,22 @@ def raw_records(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFr
     kinds = [("reference", "sb", "dl"), ("sb", "reference", "reference", "dl"), ("dl", "sb", "ins", "reference"), ("ins", "dl", "dl"), ("rv", "reference", "reference"), ("''", "'  '", "sb", "reference")]
     nbest = F.when(F.lit(False), F.array().cast("array<string>"))
     for k, names in enumerate(kinds):
-        nbest = nbest.when(F.col("doc_id") % 6 == k, F.array(*(F.expr(n) for n in names)))
-    return docs.select("doc_id", "lang", "source", F.col("source").alias("dataset"), F.col("lang").alias("split"), F.col("doc_id").cast("string").alias("id"), "reference", nbest.alias("nbest"))
+        nbest = nbest.when(F.col("turn") % 6 == k, F.array(*(F.expr(n) for n in names)))
+    return docs.select("lang", "source", F.col("source").alias("dataset"), F.col("lang").alias("split"), "id", "turn", "reference", nbest.alias("nbest"))
 
 
-def predicted_edits(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Training records with predicted_edits of five kinds by doc_id: what the reference asks for; an unbacked word; two
+def predicted_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training records with predicted_edits of five kinds by turn: what the reference asks for; an unbacked word; two
     edits, one of an absent text; a deletion; an edit that changes nothing and one with an empty side."""
     from voxmend.operators.records import training_records
     from voxmend.functions.text import COMPOSED
     from voxmend.functions.edits import edit
 
-    raw = raw_records(spark, sf_dir, whole)
+    raw = raw_records(spark, sf_dir)
     made = training_records(raw, norm=COMPOSED)
     top1 = F.col("input.asr_top1")
     first, second, third = (F.substring(top1, a, n) for a, n in ((1, 3), (4, 2), (6, 3)))
-    k = F.col("id").cast("bigint") % 5
+    k = turn_of(F.col("id")) % 5
     chosen = (
         F.when(k == 0, F.col("output.edits"))
         .when(k == 1, F.array(edit(first, F.lit("zqj"), "made_up")))
@@ -63,14 +74,14 @@ def predicted_edits(spark: SparkSession, sf_dir: str, whole: bool = False) -> Da
     return computed(made, predicted_edits=F.struct(chosen.alias("edits")))
 
 
-def replies(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, model_output: replies around one edit, fenced, bare, as a list, in prose, and without any. The edit puts the
-    text's characters 4 to 6 for the first three, or, with whole, its second half for its first."""
+    second half of the whole text's normal form for its first."""
     from voxmend.functions.prompts import compact_json
 
     docs = table(spark, sf_dir, "documents").select("doc_id", normalize_composed(F.col("text")).alias("norm"))
     half = F.expr("length(norm) div 2").cast("int")
-    old, new = (F.substring("norm", F.lit(1), half), F.substring("norm", half + 1, F.lit(REST))) if whole else (F.substring("norm", 1, 3), F.substring("norm", 4, 3))
+    old, new = F.substring("norm", F.lit(1), half), F.substring("norm", half + 1, F.lit(REST))
     one = compact_json(F.struct(old.alias("from"), new.alias("to"), F.lit("r").alias("reason")))
     k = F.col("doc_id") % 6
     text = (
@@ -79,6 +90,6 @@ def replies(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         .when(k == 2, F.concat(F.lit("["), one, F.lit(","), one, F.lit("]")))
         .when(k == 3, F.concat(F.lit("I think ["), one, F.lit(","), one, F.lit("] is right")))
         .when(k == 4, F.lit("123"))
-        .otherwise(F.col("norm") if whole else F.substring("norm", 1, 20))
+        .otherwise(F.col("norm"))
     )
     return docs.select("doc_id", text.alias("model_output"))
