@@ -144,9 +144,9 @@ def distances(values: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 def meetings(prints: DataFrame, keyed: Callable[[DataFrame], DataFrame], most: int = KEY_MEMBERS) -> DataFrame:
-    """members (array of structs of the columns of prints) of every key that two or more of prints have, dealt out so that no
-    group is much larger than 2 * most and every two prints with a key in common are in a group together. keyed gives the
-    rows (key, and columns of prints) of all keys of prints.
+    """key, pair and the columns of prints, for every key that prints have, sorted by (key, pair) in each partition and dealt
+    out so that no group of one (key, pair) is much larger than 2 * most and every two prints with a key in common are in
+    a group together (see groups). keyed gives the rows (key, and columns of prints) of all keys of prints.
 
     Keys with more than about most members, told by every _LOOKED_AT-th print by hash, are cut into chunks by hash; each
     two chunks, and each with itself, are a group. Any cut gives the same pairs, so what the look misses costs no link.
@@ -158,7 +158,37 @@ def meetings(prints: DataFrame, keyed: Callable[[DataFrame], DataFrame], most: i
     mine = F.pmod(F.xxhash64(*names, F.lit(1)), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(mine, j) * F.col("chunks") + F.greatest(mine, j))
     dealt = marked.select("key", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(-1))).otherwise(pairs)).alias("pair"), *names)
-    return dealt.groupBy("key", "pair").agg(F.collect_list(F.struct(*names)).alias("members")).where(F.size("members") > 1).select("members")
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
+
+
+def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(values, sizes) of runs of whole groups in the sorted rows of meetings: values has the members (rows of uint64), one
+    group after the other; groups of one member are left out. What is held is a batch and the group that it ends in."""
+    held: list[np.ndarray] = []
+    last = None
+
+    def told(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        heads = np.flatnonzero(first)
+        size = np.diff(np.append(heads, len(rows)))
+        return rows[np.repeat(size > 1, size), 2:].view(np.uint64), size[size > 1]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64, copy=False) for c in ("key", "pair", *names)], axis=1)
+        cut = len(rows) - 1  # where the batch's last group starts
+        same = (rows[:, :2] == rows[-1, :2]).all(axis=1)
+        cut = len(rows) - int(same[::-1].argmin()) if not same.all() else 0
+        if cut or (last is not None and (rows[0, :2] != last).any()):
+            done = np.concatenate([*held, rows[:cut]])
+            held = []
+            if len(done):
+                yield told(done)
+        held.append(rows[cut:])
+        last = rows[-1, :2]
+    if held:
+        yield told(np.concatenate(held))
 
 
 def block_masks(blocks: int, kept: int) -> list[int]:
@@ -187,15 +217,15 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, n_p
         return some.select("fingerprint", F.explode(keys).alias("key")).select(F.xxhash64("key.k", "key.v").alias("key"), "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found_a, found_b = [], []
-            for i in range(batch.num_rows):
-                values = np.unique(batch.column(0)[i].values.field("fingerprint").to_numpy().view(np.uint64))
+        for members, sizes in groups(batches, ["fingerprint"]):
+            found = []
+            for values in np.split(members[:, 0], np.cumsum(sizes)[:-1]) if len(sizes) else ():
+                values = np.unique(values)
                 child, parent = forest(values, max_bits, distances(values, reference))
-                found_a.append(values[child].view(np.int64))
-                found_b.append(values[parent].view(np.int64))
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                found.append(np.stack([values[child], values[parent]]).view(np.int64))
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return meetings(prints.select("fingerprint"), keyed).mapInArrow(run, "a long, b long").distinct()
 
