@@ -3,12 +3,13 @@
 import random
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from voxmend.functions import edits as E
 from voxmend.functions.distance import cer, edit_distance, units_distance
-from voxmend.functions.model_text import parse_reply
+from voxmend.functions.model_text import read_replies
 from voxmend.functions.phonetic import Characters, Syllables, sound_alike
 from voxmend.operators.evidence import computed
 from voxmend.functions.text import EXACT, normal_form, normalize, normalize_composed, strip
@@ -118,9 +119,15 @@ def test_sound_alike(spark):
         ("[1]", 0, ["each edit must be a JSON object", "no_valid_json_edits"]),
         (None, 0, ["no_valid_json_edits"]),
         ('{"a":1} x', 0, []),
+        ('```json\n[{"from":"a","to":"b"}]', 1, []),
+        ('``` JSON ``` ```JSON [{"from":"a","to":"b"}, {"from":"c","to":"d"}]```', 2, []),
+        ('```json 3``` then ```[{"from":"a","to":"b"}]```', 1, ["edits must be a list or an object with an edits list"]),
+        ('```3``` and ``` 3 ``` and }{', 0, ["edits must be a list or an object with an edits list", "no_valid_json_edits"]),
+        ('{"edits":null}', 0, []),
+        ("[" * 100000, 0, ["no_valid_json_edits"]),
     ],
 )
 def test_replies(text, n, warnings):
-    got = parse_reply(text)
+    got = read_replies(pd.Series([text])).iloc[0]
     assert (len(got["edits"]), got["parse_warnings"]) == (n, warnings)
     assert all(set(e) == {"from", "to", "reason"} for e in got["edits"])

@@ -1,13 +1,17 @@
 """Record transforms and reports on small record sets."""
 
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from voxmend.functions.prompts import compact_json, hotword_lines, input_block
-from voxmend.operators import baselines, exports, filters, records, reports, rules, splits
+from voxmend.functions.register import register
+from voxmend.operators import baselines, exports, filters, models, records, reports, rules, splits
 from voxmend.operators.evidence import with_evidence
+from voxmend.plans import training
 
 RAW = "dataset string, split string, id string, reference string, nbest array<string>, nbest_pinyin array<string>"
 
@@ -126,17 +130,70 @@ def test_exports(spark):
     assert spark.range(1).select(compact_json(F.struct(F.lit(None).cast("string").alias("a")))).first()[0] == '{"a":null}'
 
 
-def test_model_seams(spark):
+def test_a_teacher_over_http(spark, monkeypatch):
+    made = records.training_records(raw(spark, ("d", "s", "1", "ab", ["ac"], None), ("d", "s", "2", "ab", ["ad"], None)))
+    dry = models.teach(made, name="t", dry_run=True).first()
+    assert (dry["teacher_model"], dry["predicted_edits"]["edits"], dry["parse_warnings"]) == ("t", [], [])
+    seen = []
+
+    class Teacher(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            said = json.dumps({"choices": [{"message": {"content": '{"edits":[{"from":"c","to":"b"}]}'}}]}).encode()
+            self.send_response(200 if len(seen) < 3 else 500)
+            self.end_headers()
+            self.wfile.write(said)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Teacher)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = models.chat_client(f"http://127.0.0.1:{server.server_port}/v1/", "m", ("NO_SUCH_KEY", "PATH"))
+    real = records.apply_edits(models.teach(made, client, "m", limit=1)).collect()
+    assert len(real) == 1 and real[0]["correction_result"]["reasons"] == ["to_not_supported:b"]
+    path, key, asked = seen[0]
+    assert (path, key.startswith("Bearer "), asked["model"], asked["temperature"], [m["role"] for m in asked["messages"]]) == ("/v1/chat/completions", True, "m", 0, ["system", "user"])
+    with pytest.raises(Exception, match="NO_SUCH_KEY"):
+        models.teach(made, models.chat_client("http://x", "m", ("NO_SUCH_KEY",)), "m").collect()
+    with pytest.raises(Exception, match="HTTP 500"):
+        models.teach(made, client, "m").collect()
+        models.teach(made, client, "m").collect()
+    server.shutdown()
+    with pytest.raises(ValueError, match="teacher"):
+        models.teach(made)
+
+
+def test_inference_and_recognition(spark):
+    made = records.training_records(raw(spark, ("d", "s", "1", "ab", ["ac"], None), ("d", "s", "2", "xy", ["xy"], None)))
+
+    def model():
+        return lambda prompts: [' [{"from":"c","to":"b"}]\n' if "ASR: ac" in p and p.endswith("<assistant>\n") else "none" for p in prompts]
+
+    got = {r["id"]: r for r in models.infer(made, model).collect()}
+    assert (got["1"]["model_output"], len(got["1"]["predicted_edits"]["edits"])) == ('[{"from":"c","to":"b"}]', 1)
+    assert got["2"]["parse_warnings"] == ["no_valid_json_edits"] and "messages" not in got["1"].asDict()
+    chats = exports.to_chat(made)
+    assert models.infer(chats, model, "qwen-messages", limit=1).count() == 1
+    manifest = spark.createDataFrame([("1", "a.wav", "ref", 3), ("2", "", "r", 4)], "id string, audio string, reference string, speaker int")
+    heard = models.transcribe(manifest.where("id = '1'"), lambda: lambda paths: [[f" {p} ", "", "y"] for p in paths]).first()
+    assert (heard["nbest"], heard["asr_top1"], heard["metadata"]) == (["a.wav", "y"], "a.wav", {"speaker": "3"})
+    with pytest.raises(Exception, match="Missing audio path for record 2"):
+        models.transcribe(manifest, lambda: lambda paths: [["x"] for _ in paths]).collect()
+    assert models.beams(3) == {"num_beams": 5, "num_return_sequences": 5}
+
+
+def test_training_contract(spark, tmp_path):
     made = records.training_records(raw(spark, ("d", "s", "1", "ab", ["ac"], None)))
-    dry = records.teacher_replies(made).first()
-    assert dry["predicted_edits"]["edits"] == [] and dry["parse_warnings"] == []
-
-    def model(batches):
-        for b in batches:
-            yield b.assign(model_output='[{"from":"c","to":"b"}]')[["id", "input", "model_output"]]
-
-    schema = f"id string, input {made.schema['input'].dataType.simpleString()}, model_output string"
-    real = records.apply_edits(records.teacher_replies(made, model, schema, dry_run=False)).first()
-    assert real["correction_result"]["reasons"] == ["to_not_supported:b"]
-    heard = spark.createDataFrame([("1", "a.wav", "ref", [" x ", "", "y"])], "id string, audio string, reference string, hypotheses array<string>")
-    assert records.asr_records(heard).first()["nbest"] == ["x", "y"]
+    settings = training.Settings("dummy", input_format="internal", target_modules="a, b,", max_length=1)
+    said = training.dry_run(settings, made, made)
+    assert (said["train_rows"], said["eval_rows"], len(said["sample"][0]["text"])) == (1, 1, 8)
+    path = training.write_metadata(settings, 1, 0, str(tmp_path / "out"))
+    kept = json.loads(open(path, encoding="utf-8").read())
+    assert kept["lora"] == {"r": 16, "alpha": 32, "dropout": 0.05, "target_modules": ["a", "b"], "qlora": False} and kept["precision"] == {"bf16": False, "fp16": False} and kept["train_rows"] == 1
+
+
+def test_functions_by_name(spark):
+    assert "model_edits" in register(spark)
+    row = spark.sql("SELECT normal_text('ａ, b。') AS n, size(model_edits('[{\"from\":\"a\",\"to\":\"b\"}]').edits) AS e, edit_distance('中界', '中介') AS d, error_rate('', '') AS z, error_rate('a', 'ab') AS h, sounds_like(array('a'), array('a')) AS s").first()
+    assert tuple(row) == ("ab", 1, 1, 0.0, 0.5, True)

@@ -13,12 +13,15 @@ from voxmend.functions import prompts as P
 from voxmend.functions.distance import edit_distance, error_rate
 from voxmend.functions.model_text import parse_model_edits
 from voxmend.functions.text import COMPOSED, normalize
-from voxmend.operators import baselines, exports, filters, records, reports, rules, splits
-from voxmend.operators.evidence import with_evidence
-from voxmend.plans.derived import predicted_edits, raw_records, replies, table
+from voxmend.functions.phonetic import Syllables, joined
+from voxmend.operators import baselines, exports, filters, models, records, reports, rules, splits
+from voxmend.operators.evidence import computed, with_evidence
+from voxmend.plans.derived import predicted_edits, raw_records, replies, table, turn_of
 from voxmend.sources import kaldi
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: A pronunciation table for the tables' languages: vowels by their bare letter, e for a, and x and its like silent as e.
+SOUNDS = Syllables(oracles.SYLLABLES)
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -265,7 +268,13 @@ def chat_template(spark, sf_dir):
 @query
 def infer_messages(spark, sf_dir):
     asked = exports.inference_messages(chats(spark, sf_dir), "qwen-messages")
-    return asked.select("conv_id", F.size("messages").cast("bigint").alias("n"), F.coalesce(F.try_element_at("messages", F.lit(-1))["role"], F.lit("")).alias("last_role"))
+    return asked.select("conv_id", F.size("messages").cast("bigint").alias("n"), F.coalesce(F.try_element_at("messages", F.lit(-1))["role"], F.lit("")).alias("last_role"), P.plain_template(F.col("messages"), open_reply=True).alias("prompt"))
+
+
+@query
+def infer_prompts(spark, sf_dir):
+    asked = exports.inference_messages(training(spark, sf_dir))
+    return asked.select("id", P.plain_template(F.col("messages"), open_reply=True).alias("prompt"))
 
 
 @query
@@ -273,10 +282,38 @@ def training_texts(spark, sf_dir):
     return exports.training_texts(chats(spark, sf_dir))
 
 
+@query
+def teacher_prompts(spark, sf_dir):
+    shown = models.teacher_prompt(training(spark, sf_dir))
+    return shown.select("id", *(F.col("messages")[k]["content"].alias(name) for k, name in enumerate(("told", "asked"))))
+
+
 @query
 def teacher_dry_run(spark, sf_dir):
-    done = records.teacher_replies(training(spark, sf_dir))
-    return done.select("id", "model_output", F.size("predicted_edits.edits").cast("bigint").alias("edits"), F.size("parse_warnings").cast("bigint").alias("warnings"))
+    done = models.teach(training(spark, sf_dir), name="dry", dry_run=True)
+    return done.select("id", "teacher_model", "model_output", F.size("predicted_edits.edits").cast("bigint").alias("edits"), F.size("parse_warnings").cast("bigint").alias("warnings"))
+
+
+@query
+def sound_units(spark, sf_dir):
+    return evidence(spark, sf_dir).select("id", joined(SOUNDS.units(F.col("ev.top1_n"))).alias("sounds"))
+
+
+@query
+def sound_rule_candidate(spark, sf_dir):
+    return evidence(spark, sf_dir).select("id", rules.rule_candidate(F.col("ev"), max_char_distance=2, max_pinyin_distance=0, min_candidate_support=1, provider=SOUNDS).alias("candidate"))
+
+
+@query
+def sound_checks(spark, sf_dir):
+    """Edits of a sentence's first three letters into letters that sound alike, or, every fourth turn, into others."""
+    ready = evidence(spark, sf_dir)
+    first = F.substring("ev.top1_n", 1, 3)
+    other = F.when(turn_of(F.col("id")) % 4 == 0, F.lit("qzq")).otherwise(F.translate(first, "aeiouéèê", "éaèuiexe"))
+    ready = computed(ready, e=F.array(E.edit(first, other, "sound")))
+    support = E.support_texts(F.col("ev.top1_n"), F.col("ev.nbest_all_n"))
+    reasons = E.check_edits(F.col("e"), F.col("ev.top1_n"), F.col("ev.nbest_all_n"), support, norm=COMPOSED, provider=SOUNDS)
+    return ready.select("id", F.array_join(reasons, "|").alias("reasons"))
 
 
 @query

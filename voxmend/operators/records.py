@@ -9,8 +9,8 @@ from voxmend.functions import edits as E
 from voxmend.functions import prompts as P
 from voxmend.functions.model_text import parse_model_edits
 from voxmend.functions.phonetic import Characters, joined
-from voxmend.functions.text import EXACT, Normalizer, without_blanks
-from voxmend.operators.evidence import computed, field, hotwords, scored, support, text_field, texts_field, with_evidence
+from voxmend.functions.text import EXACT, Normalizer, strip, without_blanks
+from voxmend.operators.evidence import computed, field, support, text_field, texts_field, with_evidence
 from voxmend.operators.rules import rule_edits
 
 #: Fixed value: the source of raw records that name no dataset.
@@ -103,24 +103,15 @@ def parse_replies(df: DataFrame, text_field_name: str = "model_output", edits_fi
     return parsed.withColumn(edits_field, F.struct(F.col("_parsed.edits").alias("edits"))).withColumn("parse_warnings", F.col("_parsed.parse_warnings")).drop("_parsed")
 
 
-def teacher_replies(df: DataFrame, model=None, schema=None, dry_run: bool = True) -> DataFrame:
-    """df with model_output, predicted_edits and parse_warnings of a teacher model; a dry run replies {"edits": []}.
-
-    model is a callable over pandas batches that get the column messages (see prompts.teacher_messages), and adds model_output.
-    """
-    root = "input." if field(df, "input") is not None else ""
-    block = P.input_block(text_field(df, f"{root}asr_top1"), texts_field(df, f"{root}nbest"), texts_field(df, f"{root}nbest_pinyin"), hotwords(df, root), scored(df, root))
-    asked = df.withColumn("messages", P.teacher_messages(block))
-    if dry_run:
-        return parse_replies(asked.withColumn("model_output", F.lit('{"edits": []}'))).drop("messages")
-    return parse_replies(asked.mapInPandas(model, schema)).drop("messages")
-
-
 def asr_records(decoded: DataFrame, norm: Normalizer = EXACT, provider=None, source: str = "whisper-large-v3") -> DataFrame:
-    """Flat records from a decoder's hypotheses (id, audio, reference, hypotheses): stripped, blanks dropped, first is asr_top1."""
+    """Flat records from a decoder's hypotheses (id, audio, reference, hypotheses): stripped, blanks dropped, first is asr_top1;
+    all other columns as text in metadata."""
     provider = provider or Characters()
-    from voxmend.functions.text import strip
-
-    kept = decoded.withColumn("nbest", F.filter(F.transform("hypotheses", strip), lambda t: t != ""))
-    kept = kept.withColumn("_n", norm.many(F.col("nbest")))
-    return kept.select("id", "audio", F.lit(source).alias("source"), F.coalesce(F.try_element_at("nbest", F.lit(1)), F.lit("")).alias("asr_top1"), "nbest", F.transform("_n", lambda t: joined(provider.units(t))).alias("nbest_pinyin"), "reference")
+    rest = [c for c in decoded.columns if c not in ("id", "audio", "reference", "hypotheses")]
+    metadata = F.create_map(*(x for c in rest for x in (F.lit(c), F.col(f"`{c}`").cast("string")))) if rest else F.create_map().cast("map<string,string>")
+    kept = decoded.withColumn("_nbest", F.filter(F.transform("hypotheses", strip), lambda t: t != ""))
+    kept = kept.withColumn("_n", norm.many(F.col("_nbest")))
+    return kept.select(
+        text_field(decoded, "id").alias("id"), text_field(decoded, "audio").alias("audio"), F.lit(source).alias("source"), F.coalesce(F.try_element_at("_nbest", F.lit(1)), F.lit("")).alias("asr_top1"),
+        F.col("_nbest").alias("nbest"), F.transform("_n", lambda t: joined(provider.units(t))).alias("nbest_pinyin"), text_field(decoded, "reference").alias("reference"), metadata.alias("metadata"),
+    )

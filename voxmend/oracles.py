@@ -9,6 +9,15 @@ from voxmend.functions import prompts as P
 LETTERS, MARKS = "éèêíóñçüäößÉÈÊÍÓÑÇÜÄÖ", "!\"#%&()*,-./:;?@[]_{}"
 
 
+#: A pronunciation table: letter to syllable.
+SYLLABLES = {"a": "e", "é": "e", "è": "e", "ê": "e", "í": "i", "ó": "o", "x": "e"}
+
+
+def sounded(text: str) -> str:
+    """A normal form with its letters' syllables, of one letter each, in their place."""
+    return f"translate({text}, '{''.join(SYLLABLES)}', '{''.join(SYLLABLES.values())}')"
+
+
 def ascii(text: str) -> str:
     """A normal form letter by letter in ASCII, if it has no other letters than these."""
     return f"translate({text}, '{LETTERS}', '{MARKS}')"
@@ -112,6 +121,11 @@ def rank_at(p: float) -> str:
     return f"(SELECT x FROM (SELECT x, row_number() OVER (ORDER BY x) AS k, count(*) OVER () AS n FROM rated_rows) WHERE k = round_even((n - 1) * {p}, 0)::BIGINT + 1)"
 
 
+SOUND_RULE = f"""
+tries AS (SELECT ev.*, i, nbest[i] AS h FROM ev, unnest(range(2, len(nbest) + 1)) AS u(i)),
+rated AS (SELECT *, {lev(sounded("top1"), sounded("h"))} AS units, {lev("top1", "h")} AS chars FROM tries WHERE top1 <> '' AND h <> ''),
+fits AS (SELECT id, arg_min(i, chars * 100 + i) AS i FROM rated WHERE units = 0 AND chars BETWEEN 1 AND 2 GROUP BY id)"""
+ASKED = f"trim({quoted(P.INSTRUCTION)} || chr(10) || chr(10) || {BLOCK}, chr(10) || ' ')"
 TURNS = "(SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS ms FROM conversations GROUP BY conv_id)"
 REPLY = """'{"from":"' || a || '","to":"' || b || '","reason":"r"}'"""
 
@@ -162,9 +176,16 @@ FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('23:' || doc_id), doc_id) A
     "prompt_export": f"""WITH {EV}, {GOLD} SELECT trim({quoted(P.INSTRUCTION)} || chr(10) || chr(10) || {BLOCK}, chr(10) || ' ') AS prompt, {OUTPUT} AS completion FROM m""",
     "query_response_export": f"""WITH {EV}, {GOLD} SELECT trim({quoted(P.QUERY_HEADER)} || chr(10) || array_to_string({NUMBERED}, chr(10)), chr(10) || ' ') AS query, {OUTPUT} AS response FROM m""",
     "chat_template": f"SELECT conv_id, array_to_string(list_concat(list_transform(ms, lambda x: '<' || x.role || '>' || chr(10) || x.text), ['<assistant>' || chr(10)]), chr(10)) AS text FROM {TURNS}",
-    "infer_messages": f"SELECT conv_id, n::BIGINT AS n, CASE WHEN n > 0 THEN ms[n].role ELSE '' END AS last_role FROM (SELECT *, CASE WHEN ms[-1].role = 'assistant' THEN len(ms) - 1 ELSE len(ms) END AS n FROM {TURNS})",
+    "infer_messages": f"""SELECT conv_id, n::BIGINT AS n, CASE WHEN n > 0 THEN ms[n].role ELSE '' END AS last_role, array_to_string(list_concat(list_transform(ms[1:n], lambda x: '<' || x.role || '>' || chr(10) || x.text), ['<assistant>' || chr(10)]), chr(10)) AS prompt
+FROM (SELECT *, CASE WHEN ms[-1].role = 'assistant' THEN len(ms) - 1 ELSE len(ms) END AS n FROM {TURNS})""",
+    "infer_prompts": f"""WITH {EV} SELECT id, '<system>' || chr(10) || {quoted(P.CHAT_SYSTEM)} || chr(10) || '<user>' || chr(10) || {ASKED} || chr(10) || '<assistant>' || chr(10) AS prompt FROM ev""",
+    "teacher_prompts": f"""WITH {EV} SELECT id, {quoted(P.TEACHER_SYSTEM)} AS told, {quoted(P.TEACHER_HEADER)} || chr(10) || chr(10) || {BLOCK} || chr(10) || chr(10) || {quoted(P.TEACHER_FOOTER)} AS asked FROM ev""",
+    "sound_units": f"""WITH {EV} SELECT id, array_to_string(CASE WHEN top1 = '' THEN [] ELSE string_split({sounded("top1")}, '') END, ' ') AS sounds FROM ev""",
+    "sound_rule_candidate": f"WITH {EV}, {SOUND_RULE} SELECT ev.id, coalesce(nbest[fits.i], top1) AS candidate FROM ev LEFT JOIN fits ON ev.id = fits.id",
+    "sound_checks": f"""WITH {EV}, e AS (SELECT *, substr(top1, 1, 3) AS f, CASE WHEN turn % 4 = 0 THEN 'qzq' ELSE translate(substr(top1, 1, 3), 'aeiouéèê', 'éaèuiexe') END AS t FROM ev)
+SELECT id, CASE WHEN f = '' THEN 'empty_span' WHEN f = t THEN 'identity_edit:' || f WHEN len(list_filter(list_concat([top1], nbest), lambda s: contains(s, t))) = 0 AND {sounded("f")} <> {sounded("t")} THEN 'to_not_supported:' || t ELSE '' END AS reasons FROM e""",
     "training_texts": f"SELECT substr(array_to_string(list_transform(ms, lambda x: '<' || x.role || '>' || chr(10) || x.text), chr(10)), 1, 16384) AS text FROM {TURNS}",
-    "teacher_dry_run": f"""WITH {EV} SELECT id, '{{"edits": []}}' AS model_output, 0::BIGINT AS edits, 0::BIGINT AS warnings FROM ev""",
+    "teacher_dry_run": f"""WITH {EV} SELECT id, 'dry' AS teacher_model, '{{"edits": []}}' AS model_output, 0::BIGINT AS edits, 0::BIGINT AS warnings FROM ev""",
     "parse_model_output": f"""WITH n AS (SELECT doc_id, substr(norm, 1, length(norm) // 2) AS a, substr(norm, length(norm) // 2 + 1) AS b FROM (SELECT doc_id, {NORM} AS norm FROM documents)), s AS (SELECT doc_id, a || '>' || b || ':r' AS one FROM n)
 SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN one WHEN 1 THEN one WHEN 2 THEN one || '|' || one WHEN 3 THEN one || '|' || one ELSE '' END AS edits,
   CASE doc_id % 6 WHEN 4 THEN 'edits must be a list or an object with an edits list|no_valid_json_edits' WHEN 5 THEN 'no_valid_json_edits' ELSE '' END AS warnings FROM s""",

@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 
 
 def build_command(step: Mapping[str, Any]) -> list[str]:
-    """Python, the step's script, and its args as flags: _ becomes -, True a bare flag, False nothing, a list its items after one flag."""
+    """The step's python (this one, if it names none), its script, and its args as flags: _ becomes -, True a bare flag,
+    False nothing, a list its items after one flag."""
     script, args = step.get("script"), step.get("args") or {}
     if not script:
         raise ValueError("a step needs a script")
     if not isinstance(args, Mapping):
         raise ValueError("a step's args are a mapping")
-    out = [sys.executable, str(script)]
+    out = [str(step.get("python") or sys.executable), str(script)]
     for key, value in args.items():
         if value is False:
             continue
@@ -43,29 +44,41 @@ def _now() -> str:
 
 def _save(log: dict, path: str | None) -> None:
     if path:
+        log["updated_at"] = _now()
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_text(json.dumps(log, ensure_ascii=False, indent=2), encoding="utf-8")
+        Path(path).write_text(json.dumps(log, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+
+
+def checked_steps(config: Mapping[str, Any]) -> list[tuple[str, list[str]]]:
+    """Name (step_N if it has none) and command of each step; ValueError for anything of the wrong kind."""
+    steps = config.get("steps") or []
+    if not isinstance(steps, list):
+        raise ValueError("a configuration's steps are a list")
+    for k, step in enumerate(steps, 1):
+        if not isinstance(step, Mapping):
+            raise ValueError(f"step {k} is not a mapping")
+    return [(str(step.get("name") or f"step_{k}"), build_command(step)) for k, step in enumerate(steps, 1)]
 
 
 def run_commands(config: Mapping[str, Any], dry_run: bool = False, log_file: str | None = None) -> dict:
-    """Runs a configuration's steps one after the other under its env; the log is rewritten after each. The first step that
-    fails is logged and raises CalledProcessError. A dry run logs the commands alone."""
-    log: dict = {"name": config.get("name", ""), "started_at": _now(), "dry_run": dry_run, "steps": []}
-    env = {**os.environ, **{str(k): str(v) for k, v in (config.get("env") or {}).items()}}
-    for step in config.get("steps", []):
-        command = build_command(step)
-        entry: dict = {"name": step.get("name", ""), "command": command_text(command), "status": "dry_run"}
-        log["steps"].append(entry)
-        if not dry_run:
-            began = time.time()
-            entry |= {"status": "running", "started_at": _now()}
-            code = subprocess.run(command, env=env).returncode
-            entry |= {"status": "ok" if code == 0 else "failed", "returncode": code, "finished_at": _now(), "duration_seconds": time.time() - began}
-            if code:
-                _save(log, log_file)
-                raise subprocess.CalledProcessError(code, command)
-        _save(log, log_file)
-    _save(log, log_file)
+    """Runs a configuration's steps one after the other under its env. All steps are checked before the first runs. The log
+    (at log_file, or where the configuration says) is rewritten after each: its command, status (success, failed, or
+    dry_run), return code, times and duration. The first step that fails is logged and raises CalledProcessError."""
+    commands, extra = checked_steps(config), config.get("env") or {}
+    if not isinstance(extra, Mapping):
+        raise ValueError("a configuration's env is a mapping")
+    where = log_file or config.get("log_file")
+    log: dict = {"name": config.get("name"), "dry_run": dry_run, "started_at": _now(), "updated_at": None, "steps": []}
+    env = {**os.environ, **{str(k): str(v) for k, v in extra.items()}}
+    for name, command in commands:
+        began, clock = _now(), time.monotonic()
+        code = None if dry_run else subprocess.run(command, env=env).returncode
+        status = "dry_run" if dry_run else "failed" if code else "success"
+        log["steps"].append({"name": name, "command": command, "command_text": command_text(command), "status": status, "returncode": code, "started_at": began, "finished_at": _now(), "duration_seconds": round(time.monotonic() - clock, 3)})
+        _save(log, where)
+        if code:
+            raise subprocess.CalledProcessError(code, command)
+    _save(log, where)
     return log
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
+
+from voxmend.functions.text import has_text
 
 
 def _problem(lines: pd.Series) -> pd.Series:
@@ -23,19 +26,41 @@ def _problem(lines: pd.Series) -> pd.Series:
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """line, file of every line that has more than white space."""
     lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    return lines.where(F.trim("line") != "").where(~F.col("line").rlike(r"^\s*$"))
+    return lines.where(has_text(F.col("line")))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, file, line_no (from 1) of every line, blank ones too.
+
+    Files are read in blocks, by any task, so a line's number is its place in its block and the lines of the blocks
+    before it: a scan that only counts, one row a block, joined to the scan that reads.
+    """
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).alias("block")
+    lines = spark.read.text(path).select(F.col("value").alias("line"), block, F.monotonically_increasing_id().alias("place"))
+    sizes = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("block.file").orderBy("block.at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("block").alias("b"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    met = lines.join(starts, F.col("block") == F.col("b"))
+    return met.select("line", F.col("block.file").alias("file"), (F.col("place") + F.col("shift")).alias("line_no"))
+
+
+def told(problem: Column | str) -> Column:
+    """file:line_no: problem."""
+    said = F.lit(problem) if isinstance(problem, str) else problem
+    return F.concat(F.regexp_replace("file", "^file:/+", "/"), F.lit(":"), F.col("line_no").cast("string"), F.lit(": "), said)
 
 
 def read(spark: SparkSession, path: str, schema: StructType | str, strict: bool = True) -> DataFrame:
-    """The records of JSON-lines files under a schema. strict: any line that is no JSON object fails the query with its file
-    and text, by Python's reading of JSON (the JVM's takes trailing junk). Not strict: such lines give rows of nulls."""
-    lines = read_lines(spark, path)
-    parsed = F.from_json("line", schema if isinstance(schema, str) else schema.json())
+    """The records of JSON-lines files under a schema; blank lines don't count. strict: any line that is no JSON object fails
+    the query with its file, number and problem, by Python's reading of JSON (the JVM's takes trailing junk). Not strict:
+    such lines give rows of nulls."""
+    kind = schema if isinstance(schema, str) else schema.json()
     if not strict:
-        return lines.select(parsed.alias("r")).select("r.*")
+        return read_lines(spark, path).select(F.from_json("line", kind).alias("r")).select("r.*")
+    lines = numbered_lines(spark, path).where(has_text(F.col("line")))
     checked = lines.withColumn("_problem", F.pandas_udf(_problem, "string")("line"))
-    failed = F.raise_error(F.concat(F.col("file"), F.lit(": "), F.col("_problem"), F.lit(": "), F.substring("line", 1, 200)))
-    return checked.select(F.when(F.col("_problem").isNotNull(), F.from_json(failed.cast("string"), schema if isinstance(schema, str) else schema.json())).otherwise(parsed).alias("r")).select("r.*")
+    line = F.when(F.col("_problem").isNotNull(), F.raise_error(told(F.col("_problem"))).cast("string")).otherwise(F.col("line"))
+    return checked.select(F.from_json(line, kind).alias("r")).select("r.*")
 
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:

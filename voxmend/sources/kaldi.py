@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxmend.functions.text import SPACE_CLASS, strip
+from voxmend.sources.jsonl import numbered_lines, told
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """id, value, ord of a list of 'id value' lines, a byte order mark allowed. Of lines with one id the last value counts, in
-    the place of the first. A line without a value fails the query. ord puts lines in file order within a file."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ord"), F.regexp_replace("value", "^\\x{FEFF}", "").alias("line"))
-    return pairs(lines)
+    the place of the first. A line without a value fails the query with its file and number. ord is the line's number."""
+    lines = numbered_lines(spark, path).select("file", "line_no", F.col("line_no").alias("ord"), F.regexp_replace("line", "^\\x{FEFF}", "").alias("line"))
+    return pairs(lines, told("expected 'id value'"))
 
 
-def pairs(lines: DataFrame) -> DataFrame:
-    """As read_pairs, of rows (ord, line)."""
+def pairs(lines: DataFrame, problem: Column | None = None) -> DataFrame:
+    """As read_pairs, of rows (ord, line); problem is what a line without a value fails with."""
     line = strip(F.col("line"))
-    parts = F.regexp_extract(line, rf"(?s)^([^{SPACE_CLASS}]+)[{SPACE_CLASS}]+(.+)$", 1), F.regexp_extract(line, rf"(?s)^([^{SPACE_CLASS}]+)[{SPACE_CLASS}]+(.+)$", 2)
-    read = lines.where(line != "").select("ord", parts[0].alias("id"), parts[1].alias("value"), line.alias("line"))
-    told = F.when(F.col("id") == "", F.raise_error(F.concat(F.lit("expected 'id value': "), F.col("line")))).otherwise(F.col("id"))
-    return read.select("ord", told.alias("id"), "value").groupBy("id").agg(F.max_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
+    form = rf"(?s)^([^{SPACE_CLASS}]+)[{SPACE_CLASS}]+(.+)$"
+    named = F.regexp_extract(line, form, 1)
+    failed = F.raise_error(F.concat(F.lit("expected 'id value': "), line) if problem is None else problem).cast("string")
+    read = lines.where(line != "").select("ord", F.when(named == "", failed).otherwise(named).alias("id"), F.regexp_extract(line, form, 2).alias("value"))
+    return read.groupBy("id").agg(F.max_by("value", "ord").alias("value"), F.min("ord").alias("ord"))
 
 
 def manifest(transcripts: DataFrame, recordings: DataFrame | None = None, audio_dir: str = "", audio_ext: str = ".wav") -> DataFrame:
