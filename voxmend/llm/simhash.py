@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmend.llm.common import only, written
+from voxmend.llm.common import let_go, only, written
 from voxmend.llm.components import components
 from voxmend.llm.wordkernel import LOWER, Layout, chunks
 
@@ -86,6 +86,7 @@ def simhash(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             ids = batch.column("doc_id")
             for first, last, data, off in chunks(batch.column("text")):
@@ -101,16 +102,16 @@ def pivots(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, n, dtype=np.uint64)
 
 
-def forest(values: np.ndarray, max_bits: int, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(child, parent) edges of a spanning forest of the graph that links values (rows of uint64) max_bits apart or less.
+def forest(values: np.ndarray, max_bits: int, table: np.ndarray | None = None) -> np.ndarray:
+    """For each of the values (rows of uint64) the number of the first value that chains of links of max_bits or less lead to.
 
     table: the values' Hamming distances to reference values, computed once. A pair whose distances differ by more than
     max_bits in any coordinate can't be linked (triangle inequality), so only the other pairs are verified. A value that
     is in a tree is not compared again: a dense group costs a few passes over it, not all its pairs.
     """
     values = values.reshape(len(values), -1)
+    root = np.arange(len(values))
     left = np.arange(len(values))
-    child, parent = [], []
     while len(left):
         seed, left = left[0], left[1:]
         queue = [seed]
@@ -124,13 +125,10 @@ def forest(values: np.ndarray, max_bits: int, table: np.ndarray | None = None) -
                         break
             close = close[apart(values[close], values[v]) <= max_bits]
             if len(close):
-                child.append(close)
-                parent.append(np.full(len(close), v))
+                root[close] = seed
                 queue.extend(close.tolist())
                 left = left[~np.isin(left, close, assume_unique=True)]
-    if not child:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(child), np.concatenate(parent)
+    return root
 
 
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,12 +198,13 @@ def block_masks(blocks: int, kept: int) -> list[int]:
 
 def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, n_pivots: int = PIVOTS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fingerprint long) that connect exactly those that chains of
-    links of max_bits or less connect.
+    links of max_bits or less connect: from each to the least of its chain under a key, which is mostly the same under
+    all keys of a group of near copies.
 
     Two fingerprints max_bits apart agree in all bits of at least blocks - max_bits of the blocks, so they meet under
     one of the keys made of so many blocks (35 keys of about 27 bits by default, so that unlike fingerprints seldom
     meet). Each key's values (see meetings) go through forest(), where the pivot table discards pairs and the rest are
-    verified; it returns at most one edge a value: a group of thousands of near copies yields thousands of edges, not
+    verified; it gives at most one edge a value: a group of thousands of near copies yields thousands of edges, not
     millions of pairs.
     """
     reference = pivots(n_pivots)
@@ -221,8 +220,9 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, n_p
             found = []
             for values in np.split(members[:, 0], np.cumsum(sizes)[:-1]) if len(sizes) else ():
                 values = np.unique(values)
-                child, parent = forest(values, max_bits, distances(values, reference))
-                found.append(np.stack([values[child], values[parent]]).view(np.int64))
+                root = forest(values, max_bits, distances(values, reference))
+                hung = np.flatnonzero(root != np.arange(len(root)))
+                found.append(np.stack([values[hung], values[root[hung]]]).view(np.int64))
             if found:
                 a, b = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
