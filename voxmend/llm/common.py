@@ -69,6 +69,13 @@ def worker_memory() -> dict[Any, Any]:
     return sys.modules.setdefault("_voxmend_worker_memory", types.ModuleType("_voxmend_worker_memory")).__dict__
 
 
+def let_go() -> None:
+    """Drops what an earlier operator left in this process (see worker_memory): tasks of the next one need the room."""
+    kept = worker_memory()
+    for name in ("definition", "encoder"):
+        kept.pop(name, None)
+
+
 def only(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, cast to the given types; extra columns, whatever they are called, stay behind."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()))

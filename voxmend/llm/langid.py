@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmend.llm.common import only, shipped
+from voxmend.llm.common import let_go, only, shipped
 from voxmend.llm.wordkernel import LOWER, chunks
 
 WINDOW_BYTES = 256
@@ -224,6 +224,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     shared = shipped(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         model = shared()
         for batch in batches:
             names, scores = languages(model, batch.column("text"))
@@ -247,6 +248,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     shared = shipped(docs.sparkSession, net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         model = shared()
         for batch in batches:
             names, scores = languages(model, batch.column("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxmend.llm import gru
-from voxmend.llm.common import one_thread, only, shipped, written
+from voxmend.llm.common import let_go, one_thread, only, shipped, written
 from voxmend.llm.wordkernel import LOWER, Layout, chunks
 
 #: Words whose counts every task holds; counts of the others are joined.
@@ -175,6 +175,7 @@ def prepared(rows: DataFrame, found: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        let_go()
         part, nth, v = TaskContext.get().partitionId(), 0, vocab()
         for batch in batches:
             for first, last, data, off in chunks(batch.column("text")):

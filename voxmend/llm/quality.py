@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from voxmend.llm.common import only
+from voxmend.llm.common import let_go, only
 from voxmend.llm.wordkernel import Layout, chunks, covered, found_again, ngrams
 
 SYMBOLS = np.zeros(256, bool)
@@ -87,6 +87,7 @@ def quality_rules(docs: DataFrame, ngram_limits: dict[int, float] | None = None,
     names = [x.split()[0] for x in schema.split(", ")]
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             ids = batch.column("doc_id")
             for first, last, data, off in chunks(batch.column("text")):
@@ -101,6 +102,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             for first, last, data, off in chunks(batch.column("text")):
                 found = measures(data, off, NGRAM_LIMITS, LINE_LIMIT)

@@ -13,8 +13,8 @@ from voxmend.llm.common import one_thread, plain_strings, worker_memory
 from voxmend.llm.wordkernel import chunks
 
 #: Distinct words, and parts of them, that a Python worker remembers; then it starts anew.
-REMEMBERED_WORDS = 3 << 18
-REMEMBERED_PARTS = 3 << 18
+REMEMBERED_WORDS = 5 << 17
+REMEMBERED_PARTS = 5 << 17
 #: ASCII punctuation (no apostrophe) that may close a word.
 _CLOSING = b"!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~-"
 #: Bytes of texts whose words are told apart at once.
