@@ -30,3 +30,22 @@ def test_relative_and_later_tags_carry_blocks(spark):
     got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block"}
     assert urldefrag(urljoin("http://g.org/d/e/5", "../6"))[0] == "http://g.org/d/6"
+
+
+def test_only_tags_count(spark):
+    page = "http://a.org/"
+    ok = [
+        '<link rel="alternate canonical" href="/1">', "<LINK HREF='/2' REL=Canonical>", '<link title="a>b" rel=canonical href="/3?x=1&amp;y=&#50;&#x33;">', "<meta content='1; URL=\"/4\"' http-equiv=refresh>", '<link rel="canonical" data-href="/no" href=/5>',
+    ]
+    no = ['<!-- <link rel="canonical" href="/n1"> -->', '<script>"<link rel=canonical href=/n2>"</script>', '<link rel="non-canonical" href="/n3">', "<textarea><link rel=canonical href=/n4></textarea>", '<meta name="refresh" content="0;url=/n5">', '<a rel="canonical" href="/n6">']
+    rows = [(k, page, "<html>" + "".join(ok) + "".join(no) + "<p>x")for k in (1,)]
+    got = {r["to_url"] for r in urls.page_links(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {page + x for x in ("1", "2", "3?x=1&y=23", "4", "5")}
+
+
+def test_a_hub_and_long_chains(spark):
+    """100 000 pages that point at one hub, and chains of 200: the hub's block, and each chain's end's, reach all of them."""
+    hub = spark.range(100000).selectExpr("id AS page_id", "concat('http://h', id, '.org/') AS url", "'<link rel=canonical href=\"http://hub.net/fr/1\">' AS html")
+    chains = spark.range(20 * 200).selectExpr("100000 + id AS page_id", "concat('http://c.org/', id) AS url", "concat('<link rel=canonical href=\"', if(id % 200 = 199, if(id % 400 = 199, 'http://x.net/es/', 'http://y.com/'), concat('/', id + 1)), '\">') AS html")
+    got = {(r["chain"], r["verdict"]): r["n"] for r in urls.judge(hub.unionByName(chains)).selectExpr("if(page_id < 100000, -1, (page_id - 100000) div 200 % 2) AS chain", "verdict").groupBy("chain", "verdict").count().withColumnRenamed("count", "n").collect()}
+    assert got == {(-1, "block"): 100000, (0, "block"): 2000, (1, "allow"): 2000}

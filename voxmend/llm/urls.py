@@ -79,26 +79,49 @@ def resolved(url: Column, target: Column) -> Column:
     )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(from_url, to_url): all canonical links and refresh redirects in pages (url, html), resolved against the page's url."""
+#: What holds no tags: comments, and elements whose content is text.
+_NO_TAGS = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|template|noscript|iframe|xmp)\b.*?(?:</\1\s*>|\z)"
+_NAMED = {"quot": '"', "apos": "'", "lt": "<", "gt": ">", "amp": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """text with its numeric character references and the five named ones of XML decoded, the ampersand's last."""
+
+    def number(so_far: Column, reference: Column) -> Column:
+        digits = F.regexp_extract(reference, "(?i)^&#x?([0-9a-f]+);?$", 1)
+        code = F.when(reference.rlike("(?i)^&#x"), F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("bigint")
+        known = (F.length(digits) < 8) & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.replace(so_far, reference, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(so_far)
 
-    def attribute(tag: Column, name: str) -> Column:
-        return F.regexp_extract(tag, f"(?is)\\b{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s>\"']+))", 0)
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)&#(?:x[0-9a-f]+|[0-9]+);"), F.lit(0)))
+    out = F.when(F.contains(text, F.lit("&#")), F.aggregate(numbers, text, number)).otherwise(text)
+    for name, letter in _NAMED.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(letter))
+    return out
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(from_url, to_url): all canonical links and refresh redirects in the tags of pages (url, html), resolved against the
+    page's url. Comments and the text of scripts and the like have no tags; attribute values may be quoted, or hold >, and
+    their character references are decoded; rel may name canonical among other relations."""
 
-    def value(text: Column) -> Column:
-        return F.regexp_replace(F.regexp_replace(text, "(?s)^[^=]*=\\s*", ""), "^[\"']|[\"']$", "")
+    def tags(name: str) -> Column:
+        return F.regexp_extract_all("bare", F.lit(rf"(?is)<{name}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"), F.lit(0))
 
-    def tags(pattern: str) -> Column:
-        return F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    def value(tag: Column, name: str) -> Column:
+        found = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+        return decoded(F.regexp_replace(found, "^[\"']|[\"']$", ""))
 
-    canonical = tags("(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*>")
-    refresh = tags("(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*>")
+    canonical = F.filter(tags("link"), lambda t: F.array_contains(F.split(F.lower(F.trim(value(t, "rel"))), "\\s+"), "canonical"))
+    refresh = F.filter(tags("meta"), lambda t: F.lower(F.trim(value(t, "http-equiv"))) == "refresh")
     to = F.concat(
-        F.transform(canonical, lambda t: value(attribute(t, "href"))),
-        F.transform(refresh, lambda t: F.regexp_extract(value(attribute(t, "content")), "(?is)url\\s*=\\s*[\"']?([^\"']+)", 1)),
+        F.transform(canonical, lambda t: value(t, "href")),
+        F.transform(refresh, lambda t: F.regexp_extract(value(t, "content"), "(?is)url\\s*=\\s*[\"']?([^\"']+)", 1)),
     )
-    found = pages.where("url is not null and html is not null").select("url", F.explode(to).alias("target"))
-    found = found.select("url", F.trim(F.regexp_replace("target", "&amp;", "&")).alias("target"))
+    # Most pages name neither, and are not looked at more closely.
+    some = pages.where("url is not null and html is not null").where(F.col("html").rlike("(?i)canonical|refresh"))
+    bare = some.select("url", F.regexp_replace("html", _NO_TAGS, " ").alias("bare"))
+    found = bare.select("url", F.explode(to).alias("target")).select("url", F.trim("target").alias("target"))
     return found.select(F.col("url").alias("from_url"), resolved(F.col("url"), F.col("target")).alias("to_url")).where("to_url is not null")
 
 
