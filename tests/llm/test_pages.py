@@ -1,5 +1,7 @@
 """Web page operators."""
 
+import time
+
 import numpy as np
 import pytest
 from voxmend.llm import htmltext, urls
@@ -22,6 +24,18 @@ def test_reading_markup():
     assert blocks("<!-- <p>x --><div>t<p class='a>b'>u</div>v<p title=\"open") == ["t", "u", "v"]
     assert blocks("") == blocks("<p") == blocks("<script>never ends") == []
     assert blocks("1 < 2 <3") == ["1 < 2 <3"]
+    # An unclosed control ends where a block starts; text in figures and fallbacks is text.
+    assert blocks("<p>a<button>b<p>c<button>d<div>e</div>") == ["a", "c", "e"]
+    assert blocks("<p>a <svg><text>b</text></svg> <object>c</object><noscript>d</noscript><video>e</video><select><option>f</select>") == ["a b cde"]
+    assert blocks("<p>a<textarea>b<p>c") == ["a"]
+
+
+def test_reading_is_linear():
+    began = time.process_time()
+    deep = "<div><ul><li>" * 60000 + "x" + "</li></ul></div>" * 60000
+    assert blocks(deep) == ["x"]
+    assert blocks("<p>y<button>" * 30000)[:2] == ["y", "y"]
+    assert time.process_time() - began < 20
 
 
 def test_held_out_pages(model):

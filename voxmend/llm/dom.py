@@ -7,8 +7,10 @@ import re
 
 import numpy as np
 
-#: Elements whose content is never text of the page.
-SKIPPED = frozenset("script style noscript template iframe object svg canvas title select textarea button datalist audio video".split())
+#: Elements whose content is never text of the page: scripts, styles, what stands outside of it, and controls of forms. Of the
+#: first an end tag is waited for to the end of the page, as browsers do; the others end without one where a block starts.
+RAW = frozenset("script style title textarea iframe".split())
+SKIPPED = RAW | frozenset("template select button datalist".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are nodes; all others are inline.
@@ -17,6 +19,7 @@ BLOCKS = (
     "blockquote pre figure figcaption address details summary dialog menu center head hgroup search legend"
 ).split()
 _BLOCK = frozenset(BLOCKS)
+_STARTS = re.compile(rf"<(?:{'|'.join(BLOCKS)})(?=[\s/>])", re.I)
 #: An open p ends where one of these starts.
 _ENDS_P = _BLOCK - {"td", "th", "tr", "thead", "tbody", "tfoot", "caption"}
 #: A start tag also ends an open element of its group, within the nearest of the fences.
@@ -51,7 +54,6 @@ _MARKUP = re.compile(
     re.S,
 )
 _NAMING = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACES = re.compile(r"\s+")
 
@@ -84,10 +86,22 @@ class Page:
 
     def _read(self, source: str) -> None:
         stack, names = [0], ["html"]
+        open_at: dict[str, list[int]] = {}  # where in names each name is, innermost last
+        without_end: set[str] = set()  # names that have no end tag from here on
         pieces: list[str] = []
         in_link, linked = 0, 0
         at, size = 0, len(source)
 
+        def close(k: int) -> None:
+            """Ends the open elements from the k-th on."""
+            while len(names) > k:
+                open_at[names.pop()].pop()
+                stack.pop()
+
+        def innermost(tags) -> int:
+            """Where the innermost open element of these tags is; 0: none is open."""
+            return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
         def flush() -> None:
             nonlocal linked
             if pieces:
@@ -123,9 +137,16 @@ class Page:
                     pieces.append(" ")
                 continue
             if name in SKIPPED:
-                if not closing and not (attributes.endswith("/") and name == "svg"):
-                    end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
-                    at = end.end() if end else size
+                if not closing:
+                    end = None if name in without_end else re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
+                    if end:
+                        at = end.end()
+                    elif name in RAW:
+                        at = size
+                    else:
+                        without_end.add(name)
+                        start = _STARTS.search(source, at)
+                        at = start.start() if start else size
                     pieces.append(" ")
                 continue
             if name not in _BLOCK:
@@ -134,30 +155,25 @@ class Page:
                 continue
             flush()
             if closing:
-                if name in names[1:]:
-                    k = len(names) - 1 - names[::-1].index(name)
-                    del names[k:], stack[k:]
+                if innermost((name,)):
+                    close(innermost((name,)))
                     in_link = 0
                 continue
             if name in ("html", "head"):
                 continue
-            if name in _ENDS_P and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                del names[k:], stack[k:]
+            if name in _ENDS_P and innermost(("p",)):
+                close(innermost(("p",)))
                 in_link = 0
             if name in _SIBLINGS:
                 group, fence = _SIBLINGS[name]
-                for k in range(len(names) - 1, 0, -1):
-                    if names[k] in fence:
-                        break
-                    if names[k] in group:
-                        del names[k:], stack[k:]
-                        break
+                if innermost(group) > innermost(fence):
+                    close(innermost(group))
             if name[0] == "h" and name[1:].isdigit() and names[-1][0] == "h" and names[-1][1:].isdigit():
-                del names[-1], stack[-1]
+                close(len(names) - 1)
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.kinds.append((kinds_of(attributes) if attributes else 0) | _TAG_KIND.get(name, 0) | (1 << len(KINDS) if attributes and _HIDDEN.search(attributes) else 0))
+            self.kinds.append((kinds_of(attributes) if attributes else 0) | _TAG_KIND.get(name, 0))
+            open_at.setdefault(name, []).append(len(names))
             stack.append(len(self.tag) - 1)
             names.append(name)
         flush()
