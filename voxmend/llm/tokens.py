@@ -13,12 +13,12 @@ from voxmend.llm.common import one_thread, plain_strings, worker_memory
 from voxmend.llm.wordkernel import chunks
 
 #: Distinct words, and parts of them, that a Python worker remembers; then it starts anew.
-REMEMBERED_WORDS = 5 << 17
-REMEMBERED_PARTS = 5 << 17
+REMEMBERED_WORDS = 1 << 18
+REMEMBERED_PARTS = 1 << 18
 #: ASCII punctuation (no apostrophe) that may close a word.
 _CLOSING = b"!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~-"
 #: Bytes of texts whose words are told apart at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Words that go through the library in one text.
 _TOGETHER = 512
 #: What word by word encoding relies on: normalizers that look at no more than a word, and a split between a letter and punctuation.
