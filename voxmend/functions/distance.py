@@ -56,13 +56,17 @@ def within(left: Column, right: Column, most: int) -> Column:
 
 def units_distance(left: Column, right: Column) -> Column:
     """Levenshtein distance of two arrays: each distinct unit of the pair stands as one code point."""
-    known = F.array_distinct(F.concat(left, right))
 
-    def spelled(units: Column) -> Column:
-        # Letters from U+3400 on: there are over 27 000 before the surrogates.
-        return F.array_join(F.transform(units, lambda u: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, u) + 0x3400), 4, "0")), "UTF-16BE")), "")
+    def told(v: Column) -> Column:
+        def spelled(units: Column) -> Column:
+            # Letters from U+3400 on: there are over 27 000 before the surrogates.
+            return F.array_join(F.transform(units, lambda u: F.decode(F.unhex(F.lpad(F.hex(F.array_position(v["known"], u) + 0x3400), 4, "0")), "UTF-16BE")), "")
 
-    return edit_distance(spelled(left), spelled(right))
+        return edit_distance(spelled(v["l"]), spelled(v["r"]))
+
+    # The distinct units are found once a pair, not once a unit.
+    pair = F.struct(left.alias("l"), right.alias("r"), F.array_distinct(F.concat(left, right)).alias("known"))
+    return F.when(left == right, F.lit(0).cast("bigint")).otherwise(F.get(F.transform(F.array(pair), told), 0))
 
 
 def error_rate(distance: Column, reference: Column, prediction: Column) -> Column:
