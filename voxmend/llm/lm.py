@@ -264,7 +264,7 @@ def learned(ready: DataFrame, start: gru.Params, rate: float, shards: int) -> gr
     start_bytes = spark.sparkContext.broadcast(gru.pack(start))
     kinds = "shard int, weights binary, seen long"
     dealt = ready.select(F.pmod(F.xxhash64("mark", F.lit(9)), F.lit(shards)).cast("int").alias("shard"), "mark", "doc_id", "symbols")
-    dealt = dealt.repartition(max(shards, 1), "shard").sortWithinPartitions("shard", "mark", "doc_id").select("shard", "symbols")
+    dealt = dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "mark", "doc_id").select("shard", "symbols")
     each = written(dealt.mapInArrow(run, kinds), "networks")
     groups = each.repartition(-(-shards // GROUP_SHARDS), F.floor(F.col("shard") / GROUP_SHARDS)).sortWithinPartitions("shard").mapInArrow(joined, kinds)
     total, n = summed((r["weights"], "<f8", r["seen"]) for r in sorted(groups.collect(), key=lambda r: r["shard"]))
