@@ -12,11 +12,11 @@ from voxmend.functions import edits as E
 from voxmend.functions import prompts as P
 from voxmend.functions.distance import edit_distance, error_rate
 from voxmend.functions.model_text import parse_model_edits
-from voxmend.functions.text import COMPOSED, normalize
+from voxmend.functions.text import COMPOSED, EXACT, normalize
 from voxmend.functions.phonetic import Syllables, joined
 from voxmend.operators import baselines, exports, filters, models, records, reports, rules, splits
 from voxmend.operators.evidence import computed, with_evidence
-from voxmend.plans.derived import predicted_edits, raw_records, replies, table, turn_of
+from voxmend.plans.derived import predicted_edits, raw_records, replies, spread, table, turn_of
 from voxmend.sources import kaldi
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,7 +52,7 @@ def shown_edits(edits: Column) -> Column:
 
 @query
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("norm"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", normalize(F.col("text")).alias("norm"))
 
 
 @query
@@ -105,6 +105,18 @@ def baseline_report(spark, sf_dir):
     return rounded(baselines.report(training(spark, sf_dir), norm=COMPOSED), "top1_cer", "oracle_cer", "oracle_exact_rate")
 
 
+@query
+def baseline_report_exact(spark, sf_dir):
+    """The report under the exact normal form, from raw records on."""
+    return rounded(baselines.report(records.training_records(raw_records(spark, sf_dir), norm=EXACT), norm=EXACT), "top1_cer", "oracle_cer", "oracle_exact_rate")
+
+
+@query
+def prepared_split(spark, sf_dir):
+    made = records.prepared(raw_records(spark, sf_dir), split="fr", limit=50, norm=COMPOSED)
+    return made.select("id", "reference", F.col("input.asr_top1").alias("asr_top1"))
+
+
 @query
 def oracle_index_counts(spark, sf_dir):
     return baselines.index_counts(training(spark, sf_dir), norm=COMPOSED)
@@ -327,3 +339,10 @@ def manifest_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("value"))
     scp = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("/audio/q"), F.col("quality").cast("string"), F.lit(".wav")).alias("value"))
     return kaldi.manifest(docs, scp, audio_dir="/data/")
+
+
+@query
+def manifest_existing(spark, sf_dir):
+    files = spark.createDataFrame([("/audio/q1.wav",)], "path string")
+    there, missing = kaldi.existing(manifest_join(spark, sf_dir), files)
+    return there.select("id", F.lit(True).alias("there")).unionByName(missing.select("id", F.lit(False).alias("there")))

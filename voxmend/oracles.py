@@ -191,3 +191,6 @@ SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN one WHEN 1 THEN one WHEN 2 THEN one |
   CASE doc_id % 6 WHEN 4 THEN 'edits must be a list or an object with an edits list|no_valid_json_edits' WHEN 5 THEN 'no_valid_json_edits' ELSE '' END AS warnings FROM s""",
     "manifest_join": "SELECT d.doc_id::VARCHAR AS id, coalesce('/audio/q' || l.quality || '.wav', '/data/' || d.doc_id || '.wav') AS audio, d.source AS reference FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
 }
+SQL["baseline_report_exact"] = SQL["baseline_report"]
+SQL["prepared_split"] = f"WITH {EV} SELECT id, reference, top1 AS asr_top1 FROM ev WHERE lang = 'fr' ORDER BY id LIMIT 50"
+SQL["manifest_existing"] = f"SELECT id, audio = '/audio/q1.wav' AS there FROM ({SQL['manifest_join']})"

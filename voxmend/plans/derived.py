@@ -18,10 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files make fewer tasks (a small table is one row group, so one task); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id (doc_id-number), turn (doc_id + number), lang, source, norm of every sentence of every document's whole text,
     in normal form; a document without text has one empty sentence."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), SENTENCE_END)).alias("nth", "sentence"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    docs = docs.select("doc_id", "lang", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), SENTENCE_END)).alias("nth", "sentence"))
     named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("nth").cast("string"))
     return docs.select(named.alias("id"), (F.coalesce("doc_id", F.lit(0)) + F.col("nth")).alias("turn"), "lang", "source", normalize_composed(F.col("sentence")).alias("norm"))
 
@@ -79,7 +86,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     second half of the whole text's normal form for its first."""
     from voxmend.functions.prompts import compact_json
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", normalize_composed(F.col("text")).alias("norm"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", normalize_composed(F.col("text")).alias("norm"))
     half = F.expr("length(norm) div 2").cast("int")
     old, new = F.substring("norm", F.lit(1), half), F.substring("norm", half + 1, F.lit(REST))
     one = compact_json(F.struct(old.alias("from"), new.alias("to"), F.lit("r").alias("reason")))
