@@ -137,7 +137,10 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(definition(tokenizer_path))
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    sorted_docs = only(docs, doc_id="long", text="string").repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows of one doc_id are told apart by a hash of the text, so that many of them fill more than one part.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("mark").asc()]
+    marked = only(docs, doc_id="long", text="string").withColumn("mark", F.xxhash64("text"))
+    sorted_docs = marked.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -229,7 +232,7 @@ def digests(segments: DataFrame) -> DataFrame:
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every row of docs, by way of the written segments.
 
-    A null or empty text has the end id only. Repeated doc_ids are ordered by text and each keeps its row; null doc_ids
+    A null or empty text has the end id only. Repeated doc_ids are ordered by a hash of the text and each keeps its row; null doc_ids
     come first. Extra columns are ignored. An empty table gives no rows. Memory: a segment of about 2**18 ids, or one
     document with as many as it has.
     """

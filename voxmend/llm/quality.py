@@ -98,7 +98,9 @@ def quality_rules(docs: DataFrame, ngram_limits: dict[int, float] | None = None,
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with docs' own columns; verdict and text travel together, so nothing is joined."""
+    """The rows of docs (text and more) that quality_rules keeps, with docs' own columns; verdict and text travel together, so
+    nothing is joined. Null, empty and short texts go, as their verdict is; repeated rows stay or go together, whatever
+    their ids; a null doc_id is no reason to go; an empty table stays empty."""
     names = docs.columns
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
