@@ -3,7 +3,8 @@
 import collections
 
 import corpus_pipeline
-from test_documents import fingerprint, measured
+from test_documents import measured
+from test_similar import survivors
 
 from voxmend.llm import queries
 
@@ -25,10 +26,9 @@ def test_stages(spark, docs, rows, tmp_path):
     assert collections.Counter(r["text"] for r in seen["quality"]) == collections.Counter(r[1] for r in good)
     assert collections.Counter(map(tuple, seen["language"])) <= collections.Counter(map(tuple, seen["quality"]))
     assert len(seen["language"]) >= 0.9 * len(seen["quality"])
-    prints = [fingerprint(r["text"]) for r in seen["near_duplicates"]]
-    assert all((a ^ b).bit_count() > 4 for i, a in enumerate(prints) for b in prints[:i])
-    left = [fingerprint(r["text"]) for r in seen["language"]]
-    assert all(any((a ^ b).bit_count() <= 4 for b in prints) for a in left)
+    group = survivors([(r["doc_id"], r["text"]) for r in seen["language"]])
+    first = {g: min((r["doc_id"] is None, r["doc_id"] or 0) for r, x in zip(seen["language"], group) if x == g) for g in group}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in seen["near_duplicates"]) == sorted(first.values())
     kept = {tuple(r) for r in seen["near_duplicates"]}
     assert {tuple(r) for r in seen["mix"]} <= kept and max(collections.Counter(map(tuple, seen["mix"])).values()) <= 3
     pieces = collections.Counter(r["doc_id"] for r in seen["pack"] if r["piece"] == 0)
@@ -37,6 +37,11 @@ def test_stages(spark, docs, rows, tmp_path):
     assert whole.count() == len(seen["pack"])
 
 
+def test_no_documents(spark, docs, tmp_path):
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
     assert "pipeline" in queries.QUERIES and corpus_pipeline.ORACLE_SQL is None
