@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from llm_fixtures import LOWER, words
@@ -61,6 +63,13 @@ def test_codes_at_a_path(spark, docs, tmp_path, library):
     assert whole[-1] == 2
     with pytest.raises(IndexError):
         codes.token_at(spark, path, len(whole))
+    # Segments lie in the files as they are, each in a page of its own.
+    for file in Path(path, "segments").glob("*.parquet"):
+        raw, meta = file.read_bytes(), pq.ParquetFile(file).metadata
+        for k in range(meta.num_row_groups):
+            data = meta.row_group(k).column(meta.schema.names.index("data"))
+            assert data.compression == "UNCOMPRESSED" and not any("DICT" in e for e in data.encodings)
+        assert all(x in raw for x in pq.read_table(file)["data"].to_pylist())
 
 
 def test_ids_equal_the_library(library):
