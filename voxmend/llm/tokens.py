@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from voxmend.llm.common import one_thread, plain_strings, worker_memory
 from voxmend.llm.wordkernel import chunks
 
-#: Distinct words, and parts of them, that a Python worker remembers; then it starts anew.
-REMEMBERED_WORDS = 1 << 18
-REMEMBERED_PARTS = 1 << 18
+#: Distinct words, and parts of them, that a Python worker remembers; then it forgets all but those of the texts at hand.
+REMEMBERED_WORDS = 3 << 17
+REMEMBERED_PARTS = 3 << 17
 #: ASCII punctuation (no apostrophe) that may close a word.
 _CLOSING = b"!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~-"
 #: Bytes of texts whose words are told apart at once.
@@ -72,6 +72,18 @@ class WordEncoder:
         self.first, self.count, self.part_first, self.part_count = (np.zeros(1 << 12, np.int32) for _ in range(4))
         self.n_flat = 0
 
+    def forget_but(self, words: list[bytes]) -> None:
+        """Forgets all words but those of these that are known: common words come in every run of texts."""
+        kept = [w for w in words if w in self.number]
+        at = np.fromiter(map(self.number.__getitem__, kept), np.int64, len(kept))
+        sizes, first = self.count[at].astype(np.int64), self.first[at]
+        upto = np.cumsum(sizes)
+        ids = self.flat[np.repeat(first - (upto - sizes), sizes) + np.arange(sizes.sum())]
+        self.forget()
+        self.first, self.count = self.grown(self.first, len(kept)), self.grown(self.count, len(kept))
+        self.first[: len(kept)], self.count[: len(kept)] = self.add(ids) + upto - sizes, sizes
+        self.number = dict(zip(kept, range(len(kept))))
+
     @staticmethod
     def grown(x: np.ndarray, n: int) -> np.ndarray:
         """x with room for n, doubled as often as that takes."""
@@ -141,11 +153,11 @@ class WordEncoder:
     def words_encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of an Arrow array of texts one after the other, and where each text's end. Arrow's ASCII
         functions lower A-Z and split at space and 0x09-0x0D and touch nothing else; only distinct words reach Python."""
-        if len(self.part) > self.most_parts or len(self.number) > self.most_words:
-            self.forget()
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        if len(self.part) > self.most_parts or len(self.number) > self.most_words:
+            self.forget_but(distinct)
         number = self.number
         new = [w for w in distinct if w not in number]
         if new:
