@@ -71,6 +71,12 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline_outer(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """df behind the same barrier, all columns of it: whatever is made of it later, filters stay above and no column is cut
+    off below, so that plans that use it twice share one shuffle."""
+    return df.select(F.inline_outer(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 def with_evidence(df: DataFrame, norm: Normalizer = EXACT, own_top1: bool = False) -> DataFrame:
     """df with struct column ev: top1, nbest (blanks dropped), nbest_all, and all of them and reference in normal form.
 
