@@ -3,8 +3,12 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from llm_fixtures import LOWER, words
 
+from voxmend.llm import similar
+from voxmend.llm.simhash import apart, distances, squared
+
 
 def shingles(text):
     w = words((text or "").translate(LOWER))
@@ -47,3 +51,41 @@ def test_stage_finds_pairs_of_similarity_four_fifths(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == sorted(wanted)
     left = survivors([tuple(r) for r in kept])
     assert len(set(left)) == len(left)
+
+
+def test_pivots_discard_what_is_unlike_and_lose_no_pair():
+    rng = np.random.default_rng(4)
+    pivots = similar.orthogonal_pivots(similar.PIVOTS)
+    assert {int(x) for i, p in enumerate(pivots) for x in apart(pivots[:i], p)} == {similar.PRINT_BITS // 2}
+
+    def flipped(one, n):
+        bits = np.unpackbits(one.astype(">u8").view(np.uint8))
+        bits[rng.choice(similar.PRINT_BITS, n, replace=False)] ^= 1
+        return np.packbits(bits).view(">u8").astype(np.uint64)
+
+    sizes = np.array([2, 5, 31, 32, 33, 2, 150])
+    values = rng.integers(0, 2**64, (sizes.sum(), 2), dtype=np.uint64)
+    for i in range(1, len(values), 2):  # every second print is near an earlier one, up to the bound and just over it
+        values[i] = flipped(values[rng.integers(max(0, i - 4), i)], [3, 20, 35, 36, 36, 37, 38][i % 7])
+    values[-1] = ~values[-2]
+    i, j = np.triu_indices(len(values), 1)
+    table = distances(values, pivots)
+    assert (table == [[int(apart(v, p)) for p in pivots] for v in values]).all()
+    left = squared(table, i, j) <= similar.PRINT_BITS * similar.MOST_BITS
+    near = apart(values[i], values[j]) <= similar.MOST_BITS
+    assert near.sum() > 60 and left[near].all()
+    assert left[~near].mean() < 0.02
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    inside = near & (group[i] == group[j])
+    names = np.arange(len(values))
+    wanted = similar.least_linked(names, i[inside], j[inside])
+    assert (similar.least_linked(names, *similar.pairs_within(values, sizes)) == wanted).all()
+
+
+def test_stage_sends_meeting_prints_through_the_pivot_table(spark, monkeypatch):
+    """With a pivot table that says that all prints are far apart, nothing is found."""
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(1, text), (2, text.replace("w7 ", "n7 "))], "doc_id long, text string")
+    assert similar.one_of_similar(docs).count() == 1
+    monkeypatch.setattr(similar, "squared", lambda table, left, right: np.full(len(left), 1 << 20))
+    assert similar.one_of_similar(docs).count() == 2

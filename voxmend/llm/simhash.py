@@ -102,12 +102,13 @@ def pivots(n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, n, dtype=np.uint64)
 
 
-def forest(values: np.ndarray, max_bits: int, table: np.ndarray | None = None) -> np.ndarray:
+def forest(values: np.ndarray, max_bits: int, table: np.ndarray | None = None, squares: int | None = None) -> np.ndarray:
     """For each of the values (rows of uint64) the number of the first value that chains of links of max_bits or less lead to.
 
     table: the values' Hamming distances to reference values, computed once. A pair whose distances differ by more than
-    max_bits in any coordinate can't be linked (triangle inequality), so only the other pairs are verified. A value that
-    is in a tree is not compared again: a dense group costs a few passes over it, not all its pairs.
+    max_bits in any coordinate can't be linked (triangle inequality), so only the other pairs are verified. squares: what
+    the squares of a linked pair's differences add up to at most, where the reference values allow such a bound; it is
+    asked instead. A value that is in a tree is not compared again: a dense group costs a few passes over it, not all its pairs.
     """
     values = values.reshape(len(values), -1)
     root = np.arange(len(values))
@@ -118,7 +119,9 @@ def forest(values: np.ndarray, max_bits: int, table: np.ndarray | None = None) -
         while queue and len(left):
             v = queue.pop()
             close = left
-            if table is not None:
+            if table is not None and squares is not None:
+                close = close[squared(table, close, v) <= squares]
+            elif table is not None:
                 for a in range(0, table.shape[1], 8):  # a few coordinates leave few of the pairs
                     close = close[(np.abs(table[close, a : a + 8] - table[v, a : a + 8]) <= max_bits).all(axis=1)]
                     if len(close) < 64:
@@ -136,9 +139,29 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
+#: Rows of a pivot table that are worked on at a time: what that needs besides stays small.
+_TABLE_ROWS = 1 << 10
+
+
+def squared(table: np.ndarray, left: np.ndarray, right: np.ndarray | int) -> np.ndarray:
+    """The sums of the squared differences of rows of a pivot table, at places left and right (places, or one for all)."""
+    out = np.empty(len(left), np.int32)
+    for a in range(0, len(left), _TABLE_ROWS):
+        here = slice(a, a + _TABLE_ROWS)
+        differ = table[left[here]].astype(np.int32) - table[right[here] if np.ndim(right) else right]
+        out[here] = np.einsum("ij,ij->i", differ, differ)
+    return out
+
+
 def distances(values: np.ndarray, reference: np.ndarray) -> np.ndarray:
-    """The pivot table: each value's Hamming distance to each reference value."""
-    return np.bitwise_count(values[:, None] ^ reference[None, :]).astype(np.int8)
+    """The pivot table: each value's Hamming distance to each reference value (uint64, or rows of as many of them)."""
+    if values.ndim == 1:
+        return np.bitwise_count(values[:, None] ^ reference[None, :]).astype(np.int8)
+    out = np.zeros((len(values), len(reference)), np.int16)
+    for a in range(0, len(values), _TABLE_ROWS):
+        for w in range(values.shape[1]):
+            out[a : a + _TABLE_ROWS] += np.bitwise_count(values[a : a + _TABLE_ROWS, None, w] ^ reference[None, :, w])
+    return out
 
 
 def meetings(prints: DataFrame, keyed: Callable[[DataFrame], DataFrame], most: int = KEY_MEMBERS) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: wide SimHash prints find groups, exact shingle sets decide in them."""
+"""Near-duplicates by the Jaccard similarity of word shingles: wide SimHash prints and a pivot table find groups, exact shingle sets
+decide in them."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxmend.llm.common import let_go, only, written
 from voxmend.llm.components import components
-from voxmend.llm.simhash import apart, forest, groups, majorities, meetings, shingle_hashes
+from voxmend.llm.simhash import apart, distances, forest, groups, majorities, meetings, shingle_hashes, squared
 from voxmend.llm.wordkernel import LOWER, chunks
 
 SHINGLE_WORDS = 5
@@ -28,6 +29,8 @@ KEY_BITS, KEYS = 16, 160
 FIRST_KEYS = 3
 #: Up to so many members of a key all pairs are looked at in one sweep; more go through a spanning forest.
 SWEPT = 32
+#: Pivots, of PRINT_BITS that are orthogonal to each other.
+PIVOTS = 96
 #: Shingles of a chunk of a group whose sets are compared in one task, about.
 CHUNK_SHINGLES = 1 << 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -73,9 +76,43 @@ def keys_of(prints: np.ndarray, bits: int, n_keys: int) -> np.ndarray:
     return (spread @ weights).astype(np.int64) + (np.arange(n_keys, dtype=np.int64) << bits)[None, :]
 
 
+def orthogonal_pivots(n: int) -> np.ndarray:
+    """n reference prints (rows of two uint64): rows of a Hadamard matrix, so each two differ in just half of the bits."""
+    bits = np.bitwise_count(np.arange(n)[:, None] & np.arange(PRINT_BITS)[None, :]) & 1
+    return np.packbits(bits.astype(np.uint8), axis=1).view(">u8").astype(np.uint64)
+
+
+def pairs_within(values: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (left, right) of prints MOST_BITS apart or less, whose chains connect what all such pairs connect inside each of
+    the groups of so many prints that lie end to end in values (rows of two uint64).
+
+    Every pair goes through the pivot table first: of two prints d bits apart, the distances to one pivot differ by d at most
+    (triangle inequality), and those to orthogonal pivots by differences whose squares add up to PRINT_BITS * d at most
+    (Bessel's inequality: half of x - y, in signs, has d squares of 1, each pivot PRINT_BITS). One pivot discards next to
+    nothing at MOST_BITS, all together most pairs that are unlike. Only what is left is compared bit by bit.
+    """
+    table = distances(values, orthogonal_pivots(PIVOTS))
+    squares = PRINT_BITS * MOST_BITS
+    off = np.concatenate([[0], np.cumsum(size)])
+    group = np.repeat(np.arange(len(size)), size)
+    swept = size[group] <= SWEPT
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(SWEPT, int(size.max(initial=0)))):
+        i = np.flatnonzero((group[d:] == group[:-d]) & swept[d:])
+        i = i[squared(table, i, i + d) <= squares]
+        i = i[apart(values[i], values[i + d]) <= MOST_BITS]
+        left.append(i)
+        right.append(i + d)
+    for g in np.flatnonzero(size > SWEPT):
+        here = slice(off[g], off[g + 1])
+        left.append(np.arange(off[g], off[g + 1]))
+        right.append(off[g] + forest(values[here], MOST_BITS, table[here], squares))
+    return np.concatenate(left), np.concatenate(right)
+
+
 def edges_under(prints: DataFrame, bits: int, n_keys: int) -> DataFrame:
     """Edges (a, b) between names of prints (p0, p1, name), b < a: under each of so many keys, all prints that chains of prints
-    MOST_BITS apart or less connect have their names connected. Prints of one name need no edge."""
+    MOST_BITS apart or less connect have their names connected (see pairs_within). Prints of one name need no edge."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,19 +128,7 @@ def edges_under(prints: DataFrame, bits: int, n_keys: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, size in groups(batches, names):
             values, name = rows[:, :2], rows[:, 2].view(np.int64)
-            off = np.concatenate([[0], np.cumsum(size)])
-            group = np.repeat(np.arange(len(size)), size)
-            swept = size[group] <= SWEPT
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for d in range(1, min(SWEPT, int(size.max(initial=0)))):
-                i = np.flatnonzero((group[d:] == group[:-d]) & swept[d:])
-                i = i[apart(values[i], values[i + d]) <= MOST_BITS]
-                left.append(i)
-                right.append(i + d)
-            for g in np.flatnonzero(size > SWEPT):
-                left.append(np.arange(off[g], off[g + 1]))
-                right.append(off[g] + forest(values[off[g] : off[g + 1]], MOST_BITS))
-            least = least_linked(name, np.concatenate(left), np.concatenate(right))
+            least = least_linked(name, *pairs_within(values, size))
             hung = np.flatnonzero(least != name)
             edges = np.unique(np.stack([name[hung], least[hung]], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
@@ -235,7 +260,8 @@ def one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle_word
     columns: the smallest doc_id's (null last), of those the one with the smallest hash of its text.
 
     Texts are similar if the sets of their shingles (shingle_words words, A-Z lower-cased, joined by a space, or all words
-    where there are fewer) have that Jaccard similarity or more. Null texts and texts without a word are alike. Every link
+    where there are fewer) have that Jaccard similarity or more. Null texts and texts without a word are alike. SimHash prints
+    meet under keys, a pivot table discards pairs that are too far apart, the prints left are compared; every link then
     is decided on the exact sets; a pair is only missed if no chain of shared keys of their prints joins it (see KEYS).
     Of rows that agree in doc_id and text one stays, whatever their other columns. An empty table stays empty.
     """
