@@ -17,7 +17,7 @@ from llm_fixtures import LOWER, words
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxmend.llm import codes, gru, langid, lm, mixing, packing, quality, simhash, tokens, winnow
+from voxmend.llm import codes, common, gru, langid, lm, mixing, packing, quality, simhash, tokens, winnow
 from voxmend.llm.components import components
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -84,6 +84,14 @@ def test_ids_equal_the_library(library):
             assert got == [[*library(t), 2] for t in texts[a + 1 : a + 5000]]
 
 
+def test_letting_go_gives_memory_back():
+    pages = lambda: int(Path("/proc/self/statm").read_text().split()[1])
+    common.worker_memory()["encoder"] = [np.ones(8000) for _ in range(3000)]  # 192 MB in pieces that the C library keeps
+    pin, before = np.ones(8000), pages()
+    common.let_go()
+    assert before - pages() > 100_000_000 // 4096 and pin[0]
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     made, own = tokens.WordEncoder(tokens.definition(path)), Tokenizer.from_file(path)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmend.llm.common import only, own_folder
+from voxmend.llm.common import give_back, only, own_folder
 from voxmend.llm.tokens import definition, encoder
 
 MAGIC = b"DAC1"
@@ -145,6 +145,7 @@ def write_codes(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         part, tok = TaskContext.get().partitionId(), encoder(model.value)
         names, ends, ids, size, segment, before = [], [], [], 0, 0, 0
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from voxmend.llm.common import only, written
+from voxmend.llm.common import give_back, only, written
 from voxmend.llm.tokens import definition, encoder
 
 CAPACITY = 4096
@@ -112,6 +112,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        give_back()
         part, tok = TaskContext.get().partitionId(), encoder(model.value)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
