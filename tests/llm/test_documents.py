@@ -84,6 +84,22 @@ def test_ids_equal_the_library(library):
             assert got == [[*library(t), 2] for t in texts[a + 1 : a + 5000]]
 
 
+def test_plain_words_skip_the_split_and_marks_part_no_run(library):
+    words = ["über", "straße", "ñandú", "слово", "λόγος", "かな", "漢字", "한글", "the", "word", "ŉa", "ſo", "x9", "don't", "e\u0301a", "İx", "\u0301", "\xa0"]
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(words[:12]) + rng.choice(["", "", ".", "!!"]) for _ in range(30)) for _ in range(50)]
+    made = tokens.WordEncoder(tokens.definition(VOCABULARY))
+    made.encode(pa.array(["", ". !!"], pa.large_string()))
+    whole, made.tokenizer = made.tokenizer, None  # these need it no more
+    ids, ends = made.encode(pa.array(texts, pa.large_string()))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [library(t) for t in texts]
+    made.tokenizer, calls, run = whole, [], made.words_encoded
+    made.words_encoded = lambda part: calls.append(len(part)) or run(part)
+    mixed = [" ".join(rng.choice(words) for _ in range(9)) + " <|endoftext|>" * (k % 2) for k in range(40)]
+    ids, ends = made.encode(pa.array(mixed, pa.large_string()))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [library(t) for t in mixed] and calls == [20]
+
+
 def test_letting_go_gives_memory_back():
     pages = lambda: int(Path("/proc/self/statm").read_text().split()[1])
     common.worker_memory()["encoder"] = [np.ones(8000) for _ in range(3000)]  # 192 MB in pieces that the C library keeps

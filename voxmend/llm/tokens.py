@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,9 @@ _NORMALIZERS = {"NFC", "Lowercase", "Replace"}
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters that every Unicode version of the last twenty years has: Latin, Greek, Cyrillic, kana, Han, Hangul.
 _OLD_LETTERS = ((0x80, 0x52F), (0x3041, 0x30FF), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+#: Letters that are lower case, composed and one letter under any Unicode version: Latin, Greek, Cyrillic, kana, Han, Hangul.
+_PLAIN_LETTERS = ((0x61, 0x7A), (0xDF, 0x17F), (0x3AC, 0x3CE), (0x430, 0x45F), (0x3041, 0x3094), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+_LETTERS_ONLY = f"^[{''.join(c for a, b in _PLAIN_LETTERS for c in map(chr, range(a, b + 1)) if c.isalpha() and c.lower() == c and unicodedata.is_normalized('NFC', c))}]+$"
 
 
 def steps(kind: dict | None, key: str) -> list[dict]:
@@ -50,39 +54,50 @@ class WordEncoder:
     """The ids that a tokenizer gives whole texts (add_special_tokens=False).
 
     If the tokenizer works by words (see by_words), each distinct word, less its closing punctuation, goes through the
-    library once and is remembered: the ids of word w are flat[first[w] : first[w] + count[w]]. Texts that hold the
-    string of a special token, and all texts under any other tokenizer, go through the library whole.
+    library once and is remembered: the ids of word w are flat[first[w] : first[w] + count[w]]. Words and parts are Arrow
+    arrays, looked up by Arrow: only new parts reach Python. Texts that hold the string of a special token, and all
+    texts under any other tokenizer, go through the library whole.
     """
 
     def __init__(self, definition: str, words: int = REMEMBERED_WORDS, parts: int = REMEMBERED_PARTS):
         one_thread()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         made = json.loads(definition)
         self.tokenizer = Tokenizer.from_str(definition)
         self.by_words = by_words(made)
         self.special = [x["content"] for x in made.get("added_tokens", [])]
         self.most_words, self.most_parts = words, parts
+        # The same model for runs of plain letters, which normalizers and split leave as they are.
+        self.of_letters = Tokenizer(self.tokenizer.model)
+        own = any(x["type"] == "ByteLevel" for x in steps(made.get("pre_tokenizer"), "pretokenizers"))
+        bytewise = [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)] * own
+        self.of_letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *bytewise])
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.part: dict[bytes, int] = {b"": 0}
+        self.words = pa.array([], pa.large_string())
+        self.parts = pa.array([""], pa.large_string())
         self.flat = np.zeros(1 << 12, np.uint32)
         self.first, self.count, self.part_first, self.part_count = (np.zeros(1 << 12, np.int32) for _ in range(4))
         self.n_flat = 0
 
-    def forget_but(self, words: list[bytes]) -> None:
+    def forget_but(self, words: pa.Array) -> None:
         """Forgets all words but those of these that are known: common words come in every run of texts."""
-        kept = [w for w in words if w in self.number]
-        at = np.fromiter(map(self.number.__getitem__, kept), np.int64, len(kept))
+        at = self.places(words, self.words)
+        words, at = words.take(pa.array(np.flatnonzero(at >= 0))), at[at >= 0]
         sizes, first = self.count[at].astype(np.int64), self.first[at]
         upto = np.cumsum(sizes)
         ids = self.flat[np.repeat(first - (upto - sizes), sizes) + np.arange(sizes.sum())]
         self.forget()
-        self.first, self.count = self.grown(self.first, len(kept)), self.grown(self.count, len(kept))
-        self.first[: len(kept)], self.count[: len(kept)] = self.add(ids) + upto - sizes, sizes
-        self.number = dict(zip(kept, range(len(kept))))
+        self.first, self.count = self.grown(self.first, len(words)), self.grown(self.count, len(words))
+        self.first[: len(words)], self.count[: len(words)] = self.add(ids) + upto - sizes, sizes
+        self.words = words
+
+    @staticmethod
+    def places(what: pa.Array, known: pa.Array) -> np.ndarray:
+        """Where each of what stands in known, or -1."""
+        return pc.fill_null(pc.index_in(what, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
     @staticmethod
     def grown(x: np.ndarray, n: int) -> np.ndarray:
@@ -102,67 +117,87 @@ class WordEncoder:
         return at
 
     @staticmethod
-    def cut(word: bytes) -> tuple[bytes, bytes]:
-        """The word without its closing punctuation, and that, if a letter that lower-casing keeps one letter, or a digit, stands before it."""
-        if not word or word[-1] not in _CLOSING:
-            return word, b""
-        before = word.rstrip(_CLOSING)
-        if not before:
-            return word, b""
-        last = before[-1]
-        if last < 128:
-            plain = 48 <= last <= 57 or 97 <= last <= 122
-        else:
-            letter = before.decode()[-1]
-            plain = any(a <= ord(letter) <= b for a, b in _OLD_LETTERS) and letter.isalpha() and len(letter.lower()) == 1
-        return (before, word[len(before) :]) if plain else (word, b"")
-
-    def ask(self, parts: list[bytes]) -> None:
-        """Remembers the ids of parts, put to the library with spaces between; offsets say whose an id is."""
-        for a in range(0, len(parts), _TOGETHER):
-            texts = [w.decode() for w in parts[a : a + _TOGETHER]]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = found.ids
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            edge = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids)), ends)
-            at, n = self.add(np.array(ids, np.uint32)), len(self.part)
-            self.part_first, self.part_count = self.grown(self.part_first, n + len(texts)), self.grown(self.part_count, n + len(texts))
-            start = np.concatenate([[0], edge[:-1]])
-            self.part_first[n : n + len(texts)], self.part_count[n : n + len(texts)] = at + start, edge - start
-            self.part.update(zip(parts[a : a + _TOGETHER], range(n, n + len(texts))))
-
-    def learn(self, words: list[bytes]) -> None:
-        pairs = list(map(self.cut, words))
-        known = self.part
-        self.ask(list(dict.fromkeys(p for pair in pairs for p in pair if p not in known)))
-        n = len(self.number)
+    def cut(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """The words (large_string) without their closing punctuation, and that, where a letter that lower-casing keeps one
+        letter, or a digit, stands before it."""
+        before = pc.ascii_rtrim(words, characters=_CLOSING.decode())
+        size, kept = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (words, before))
+        some = np.flatnonzero((kept > 0) & (kept < size))
+        off, data = (np.frombuffer(x, kind) if x else np.zeros(0, kind) for x, kind in zip(before.buffers()[1:], (np.int64, np.uint8)))
+        last = data[off[before.offset + some + 1] - 1]
+        plain = (last >= 48) & (last <= 57) | (last >= 97) & (last <= 122)
+        odd = np.flatnonzero(last >= 128)
+        letters = (x[-1] for x in before.take(pa.array(some[odd])).to_pylist())
+        plain[odd] = [any(a <= ord(x) <= b for a, b in _OLD_LETTERS) and x.isalpha() and len(x.lower()) == 1 for x in letters]
+        ends = np.zeros(len(words), bool)
+        ends[some[plain]] = True
+        # What was cut off: the last bytes of those words.
+        off, data = (np.frombuffer(x, kind) if x else np.zeros(0, kind) for x, kind in zip(words.buffers()[1:], (np.int64, np.uint8)))
+        n = np.where(ends, size - kept, 0)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        stop = off[words.offset + 1 : words.offset + 1 + len(words)]
+        tails = data[np.repeat(stop - n - upto[:-1], n) + np.arange(upto[-1])]
+        tail = pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(upto), pa.py_buffer(tails)])
+        return pc.if_else(pa.array(ends), before, words), tail
+
+    def ask(self, parts: pa.Array) -> None:
+        """Remembers the ids of parts, put to the library with spaces between."""
+        letters = pc.match_substring_regex(parts, _LETTERS_ONLY)
+        n = len(self.parts)
+        self.part_first, self.part_count = self.grown(self.part_first, n + len(parts)), self.grown(self.part_count, n + len(parts))
+        plain, others = parts.filter(letters), parts.filter(pc.invert(letters))
+        self.parts = pa.concat_arrays([self.parts, plain, others])
+        for tokenizer, asked in ((self.of_letters, plain.to_pylist()), (self.tokenizer, others.to_pylist())):
+            for a in range(0, len(asked), _TOGETHER):
+                texts = asked[a : a + _TOGETHER]
+                found = tokenizer.encode(" ".join(texts), add_special_tokens=False)
+                ids = np.array(found.ids, np.uint32)
+                if tokenizer is self.of_letters:
+                    edge = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(1, len(texts) + 1))
+                else:  # a part may be several words to the library: offsets say whose an id is
+                    edge = np.searchsorted(np.fromiter((o[0] for o in found.offsets), np.int64, len(ids)), np.cumsum([len(t) + 1 for t in texts]))
+                start = np.concatenate([[0], edge[:-1]])
+                self.part_first[n : n + len(texts)], self.part_count[n : n + len(texts)] = self.add(ids) + start, edge - start
+                n += len(texts)
+
+    def learn(self, words: pa.Array) -> None:
+        coded = pa.concat_arrays(self.cut(words)).dictionary_encode()
+        at = self.places(coded.dictionary, self.parts)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            asked = coded.dictionary.take(pa.array(new))
+            known = len(self.parts)
+            self.ask(asked)
+            at[new] = known + self.places(asked, self.parts.slice(known))
+        core, tail = np.split(at[coded.indices.to_numpy()], 2)
+        n = len(self.words)
         self.first, self.count = self.grown(self.first, n + len(words)), self.grown(self.count, n + len(words))
-        core, tail = (np.array([known[pair[side]] for pair in pairs], np.int64) for side in (0, 1))
         first, count = self.part_first[core], self.part_count[core]
         both = np.flatnonzero(tail)
         if len(both):
             ends = np.stack([core[both], tail[both]], axis=1).reshape(-1)
             sizes = self.part_count[ends].astype(np.int64)
             upto = np.cumsum(sizes)
-            at = self.add(self.flat[np.repeat(self.part_first[ends] - (upto - sizes), sizes) + np.arange(upto[-1])])
+            place = self.add(self.flat[np.repeat(self.part_first[ends] - (upto - sizes), sizes) + np.arange(upto[-1])])
             count[both] = sizes[0::2] + sizes[1::2]
-            first[both] = at + (upto - sizes)[0::2]
+            first[both] = place + (upto - sizes)[0::2]
         self.first[n : n + len(words)], self.count[n : n + len(words)] = first, count
-        self.number.update(zip(words, range(n, n + len(words))))
+        self.words = pa.concat_arrays([self.words, words])
 
     def words_encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of an Arrow array of texts one after the other, and where each text's end. Arrow's ASCII
-        functions lower A-Z and split at space and 0x09-0x0D and touch nothing else; only distinct words reach Python."""
+        functions lower A-Z and split at space and 0x09-0x0D and touch nothing else."""
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = lists.flatten().dictionary_encode()
-        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        if len(self.part) > self.most_parts or len(self.number) > self.most_words:
+        distinct = coded.dictionary
+        if len(self.parts) > self.most_parts or len(self.words) > self.most_words:
             self.forget_but(distinct)
-        number = self.number
-        new = [w for w in distinct if w not in number]
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(number.__getitem__, distinct), np.int32, len(distinct))[coded.indices.to_numpy()]
+        row = self.places(distinct, self.words)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            row[new] = len(self.words) + np.arange(len(new))
+            self.learn(distinct.take(pa.array(new)))
+        at = row.astype(np.int32)[coded.indices.to_numpy()]
         count = self.count[at]
         upto = np.zeros(len(at) + 1, np.int64)
         np.cumsum(count, out=upto[1:])
@@ -180,18 +215,14 @@ class WordEncoder:
                 whole |= pc.match_substring(texts, mark, ignore_case=True).to_numpy(zero_copy_only=False)
             if not whole.any():
                 return self.words_encoded(texts)
-        parts: list[np.ndarray] = []
-        k = 0
-        while k < len(texts):
-            last = k + 1
-            if whole[k]:
-                parts.append(np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32))
-            else:
-                while last < len(texts) and not whole[last]:
-                    last += 1
-                ids, ends = self.words_encoded(texts.slice(k, last - k))
-                parts += np.split(ids, ends[:-1])
-            k = last
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for k in np.flatnonzero(whole):
+            parts[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32)
+        by_words = np.flatnonzero(~whole)
+        if len(by_words):  # all at once: every look at what is remembered costs as much as for many texts
+            ids, ends = self.words_encoded(texts.take(pa.array(by_words)))
+            for k, x in zip(by_words, np.split(ids, ends[:-1])):
+                parts[k] = x
         return np.concatenate([*parts, np.zeros(0, np.uint32)]), np.cumsum([len(x) for x in parts])
 
     def runs(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
